@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import load
+from ..common import cut, load
 from .knn import nearest_vectors, similar_pairs
 from .membership import seen_before
+from .mixing import mix_report, mix_sources
 from .nearest_time import nearest_in_time
 from .runs import collapse_runs
+from .textstats import text_statistics
 from .tokens import count_tokens, decode_ids, encode_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +82,31 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text").join(back, "doc_id").groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cut(count_tokens(load(spark, d, "documents"), carry=("source",)))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix and how often each is used."""
+    return mix_sources(_sizes(spark, d), load(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The actual shares of each mix."""
+    sizes, targets = _sizes(spark, d), load(spark, d, "mix_targets")
+    return mix_report(mix_sources(sizes, targets), sizes, targets)
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    return text_statistics(load(spark, d, "documents"), load(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are no natural prose."""
+    return p10_stats(spark, d).filter("kind in ('list', 'table', 'junk')").select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p5_found": p5_found,
@@ -91,6 +118,10 @@ QUERIES: dict[str, Query] = {
     "p8_ids": p8_ids,
     "p8_lengths": p8_lengths,
     "p8_round_trip": p8_round_trip,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_stats": p10_stats,
 }
 
 _NEAREST = """
