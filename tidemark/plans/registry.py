@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning
+from . import cleaning, tracking
 
-PARTS = [cleaning]
+PARTS = [tracking, cleaning]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p3_filled"](spark, d)
+    return queries()["speed_zones"](spark, d)
