@@ -110,16 +110,16 @@ def located_rebounds(moments: DataFrame, play_events: DataFrame, strict: bool =
     return first.select("play_id", "game_id", "eventnum", "player_id", "quarter", "moment_id", "to_ball", hoop_distance(F.col("x"), F.col("y")).alias("to_hoop"))
 
 
-def player_rebounds(moments: DataFrame, play_events: DataFrame, strict: bool = False) -> DataFrame:
+def player_rebounds(moments: DataFrame, play_events: DataFrame, strict: bool = False, reach: float = 1.0) -> DataFrame:
     """``player_id``, ``off``, ``def`` and ``farthest`` (metres); players without a located rebound don't come out."""
     total = rebounds_by_game(play_events).groupBy(F.col("player1_id").alias("player_id")).agg(F.sum("off").alias("off"), F.sum("def").alias("def"))
-    far = located_rebounds(moments, play_events, strict).groupBy("player_id").agg(F.max("to_hoop").alias("farthest"))
+    far = located_rebounds(moments, play_events, strict, reach).groupBy("player_id").agg(F.max("to_hoop").alias("farthest"))
     return total.join(far, "player_id")
 
 
-def missing_rebounds(moments: DataFrame, play_events: DataFrame, strict: bool = False) -> DataFrame:
+def missing_rebounds(moments: DataFrame, play_events: DataFrame, strict: bool = False, reach: float = 1.0) -> DataFrame:
     """Rebounds that no moment was found for."""
-    return rebound_events(play_events).join(located_rebounds(moments, play_events, strict), ["game_id", "eventnum"], "left_anti").select("play_id", "game_id", "eventnum", "player1_id")
+    return rebound_events(play_events).join(located_rebounds(moments, play_events, strict, reach), ["game_id", "eventnum"], "left_anti").select("play_id", "game_id", "eventnum", "player1_id")
 
 
 def event_moments(moments: DataFrame, play_events: DataFrame, within: float | None = None) -> DataFrame:

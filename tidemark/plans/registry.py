@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, tracking
+from . import cleaning, similarity, tracking
 
-PARTS = [tracking, cleaning]
+PARTS = [tracking, similarity, cleaning]
 
 
 def queries() -> dict:

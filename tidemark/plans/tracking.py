@@ -10,6 +10,9 @@ from ..operators import segments as S
 from ..operators import tracking as T
 
 
+WIDE = 7.0
+
+
 def _m(spark, d):
     return load(spark, d, "moments")
 
@@ -47,6 +50,11 @@ QUERIES = {
     "player_rebounds": lambda s, d: T.player_rebounds(_m(s, d), _e(s, d)).select("player_id", "off", "def", _r("farthest")),
     "player_rebounds_strict": lambda s, d: T.player_rebounds(_m(s, d), _e(s, d), strict=True).select("player_id", "off", "def", _r("farthest")),
     "missing_rebounds": lambda s, d: T.missing_rebounds(_m(s, d), _e(s, d)),
+    # The same with a reach of seven metres: in the test tables nobody holds the ball.
+    "located_rebounds_wide": lambda s, d: T.located_rebounds(_m(s, d), _e(s, d), reach=WIDE).select("play_id", "moment_id", "quarter", _r("to_ball"), _r("to_hoop")),
+    "located_rebounds_wide_strict": lambda s, d: T.located_rebounds(_m(s, d), _e(s, d), True, WIDE).select("play_id", "moment_id", "quarter", _r("to_ball"), _r("to_hoop")),
+    "player_rebounds_wide": lambda s, d: T.player_rebounds(_m(s, d), _e(s, d), reach=WIDE).select("player_id", "off", "def", _r("farthest")),
+    "missing_rebounds_wide": lambda s, d: T.missing_rebounds(_m(s, d), _e(s, d), reach=WIDE),
     "event_moments": lambda s, d: T.event_moments(_m(s, d), _e(s, d)),
     "event_moments_in_range": lambda s, d: T.event_moments(_m(s, d), _e(s, d), within=5.0),
     "clock_text": lambda s, d: _e(s, d).select("play_id", clock_seconds(F.col("pctimestring")).alias("seconds")),
@@ -121,21 +129,30 @@ def _context(strict: bool) -> str:
              OR (shot_clock IS NULL AND before IS NOT NULL AND game_clock < 24 AND next_known IS NULL))"""
 
 
-def _located(strict: bool) -> str:
+def _located(strict: bool, reach: float = 1.0) -> str:
     order = "to_ball, recorded_at, moment_id, ball_id" if strict else "recorded_at, moment_id, to_ball, ball_id"
     return f"""{_context(strict)},
     near AS (SELECT cand.*, b.moment_id AS ball_id, sqrt(pow(cand.x - b.x, 2) + pow(cand.y - b.y, 2)) AS to_ball, {_hoop('cand.x', 'cand.y')} AS to_hoop
              FROM cand JOIN pos b ON b.player_id = -1 AND cand.game_id = b.game_id AND cand.quarter = b.quarter AND cand.event_id = b.event_id
              AND cand.game_clock = b.game_clock AND cand.shot_clock IS NOT DISTINCT FROM b.shot_clock
-             WHERE sqrt(pow(cand.x - b.x, 2) + pow(cand.y - b.y, 2)) <= 1.0),
+             WHERE sqrt(pow(cand.x - b.x, 2) + pow(cand.y - b.y, 2)) <= {reach}),
     loc AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY player_id, quarter, game_id, eventnum ORDER BY {order}) = 1)"""
 
 
-def _players(strict: bool) -> str:
-    return f"""{_located(strict)}, tot AS (SELECT player1_id AS player_id, CAST(sum(off) AS BIGINT) AS off, CAST(sum(def) AS BIGINT) AS def FROM byg GROUP BY 1)
+def _players(strict: bool, reach: float = 1.0) -> str:
+    return f"""{_located(strict, reach)}, tot AS (SELECT player1_id AS player_id, CAST(sum(off) AS BIGINT) AS off, CAST(sum(def) AS BIGINT) AS def FROM byg GROUP BY 1)
     SELECT player_id, tot.off, tot.def, round(max(to_hoop), 4) AS farthest FROM tot JOIN loc USING (player_id) GROUP BY 1, 2, 3"""
 
 
+def _missing(reach: float) -> str:
+    return f"""{_located(False, reach)} SELECT play_id, game_id, eventnum, player1_id FROM reb
+    WHERE NOT EXISTS (SELECT 1 FROM loc WHERE loc.game_id = reb.game_id AND loc.eventnum = reb.eventnum)"""
+
+
+def _places(strict: bool) -> str:
+    return f"{_located(strict, WIDE)} SELECT play_id, moment_id, quarter, round(to_ball, 4) AS to_ball, round(to_hoop, 4) AS to_hoop FROM loc"
+
+
 _EM = "FROM play_events e JOIN moments m ON m.game_id = e.game_id AND m.event_id = e.eventnum AND m.player_id = e.player1_id"
 
 ORACLES = {
@@ -161,8 +178,11 @@ ORACLES = {
     "located_rebounds": f"{_located(False)} SELECT play_id, moment_id, quarter, round(to_ball, 4) AS to_ball, round(to_hoop, 4) AS to_hoop FROM loc",
     "player_rebounds": _players(False),
     "player_rebounds_strict": _players(True),
-    "missing_rebounds": f"""{_located(False)} SELECT play_id, game_id, eventnum, player1_id FROM reb
-    WHERE NOT EXISTS (SELECT 1 FROM loc WHERE loc.game_id = reb.game_id AND loc.eventnum = reb.eventnum)""",
+    "missing_rebounds": _missing(1.0),
+    "located_rebounds_wide": _places(False),
+    "located_rebounds_wide_strict": _places(True),
+    "player_rebounds_wide": _players(False, WIDE),
+    "missing_rebounds_wide": _missing(WIDE),
     "event_moments": f"SELECT play_id, moment_id {_EM}",
     "event_moments_in_range": f"SELECT play_id, moment_id {_EM} WHERE NOT isnan(m.game_clock) AND abs(m.game_clock - e.game_clock) <= 5",
     "clock_text": "SELECT play_id, CAST(TRY_CAST(split_part(pctimestring, ':', 1) AS INTEGER) * 60 + TRY_CAST(split_part(pctimestring, ':', 2) AS INTEGER) AS DOUBLE) AS seconds FROM play_events",
