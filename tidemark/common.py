@@ -78,6 +78,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, dealt out to all; others, as any large one, are left as they are.
+
+    For kernels that spend far more on a row than its shuffle costs.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= width else df.repartition(width)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

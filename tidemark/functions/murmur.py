@@ -13,30 +13,45 @@ M32, R32 = 0x5BD1E995, 24
 M64, R64 = 0xC6A4A7935BD1E995, 47
 
 
-def murmur2_32(text: Column, seed: int = 0) -> Column:
-    """The 32-bit hash of a text's UTF-8 bytes, as an unsigned number in a bigint; null for null.
+def murmur2_32_many(text: Column, seeds: list[int]) -> Column:
+    """The 32-bit hashes of a text's UTF-8 bytes by several seeds: an array of unsigned numbers in bigints; null for null.
 
-    Products stay below 2**63: each factor is cut to 32 bits, and the multiplier has 31.
+    The bytes are read once for all seeds.  Values used twice are bound as variables of higher-order functions, since Spark
+    works out a repeated expression inside them each time.  Products stay below 2**63: each factor is cut to 32 bits, and the
+    multiplier has 31.
     """
     low = F.lit(0xFFFFFFFF).cast("bigint")
+    bind = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
     times = lambda v: (v * F.lit(M32).cast("bigint")).bitwiseAND(low)
     shifted = lambda v, n: v.bitwiseXOR(F.shiftrightunsigned(v, n))
-    digits = F.hex(F.encode(text, "UTF-8"))
-    size = (F.length(digits) / 2).cast("bigint")
-    byte = lambda at: F.substr(digits, at * 2 + 1, F.lit(2))
     number = lambda parts: F.conv(F.concat(*parts), 16, 10).cast("bigint")
-    blocks = F.floor(size / 4).cast("int")
-    places = F.slice(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), F.lit(1), blocks)
-
-    def mix(h: Column, i: Column) -> Column:
-        k = times(shifted(times(number([byte(i * 4 + j) for j in (3, 2, 1, 0)])), R32))
-        return times(h).bitwiseXOR(k)
-
-    h = F.aggregate(places, F.lit(seed & 0xFFFFFFFF).cast("bigint").bitwiseXOR(size), mix)
-    rest, start = F.pmod(size, F.lit(4)).cast("int"), blocks * 4
-    tail = F.when(rest == 1, number([byte(start)])).when(rest == 2, number([byte(start + 1), byte(start)])).when(rest == 3, number([byte(start + 2), byte(start + 1), byte(start)]))
-    h = F.when(rest == 0, h).otherwise(times(h.bitwiseXOR(tail)))
-    return shifted(times(shifted(h, 13)), 15)
+
+    def of(digits: Column) -> Column:
+        size = (F.length(digits) / 2).cast("int")
+        byte = lambda at: F.substr(digits, at * 2 + 1, F.lit(2))
+        blocks = F.floor(size / 4).cast("int")
+        places = F.slice(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), F.lit(1), blocks)
+        words = F.transform(places, lambda i: number([byte(i * 4 + j) for j in (3, 2, 1, 0)]))
+        words = F.transform(F.transform(words, times), lambda k: times(shifted(k, R32)))
+        rest, at = F.pmod(size, F.lit(4)), blocks * 4
+        tail = F.when(rest == 1, number([byte(at)])).when(rest == 2, number([byte(at + 1), byte(at)])).when(rest == 3, number([byte(at + 2), byte(at + 1), byte(at)]))
+        # What all seeds share: the size, the mixed words, and the bytes behind them (null if there are none).
+        return bind(
+            F.struct(size.cast("bigint").alias("n"), words.alias("w"), tail.alias("t")),
+            lambda x: F.transform(F.array(*[F.lit(s & 0xFFFFFFFF).cast("bigint") for s in seeds]), lambda seed: finish(x, seed)),
+        )
+
+    def finish(x: Column, seed: Column) -> Column:
+        h = F.aggregate(x["w"], seed.bitwiseXOR(x["n"]), lambda h, k: times(h).bitwiseXOR(k))
+        h = bind(h, lambda v: F.when(x["t"].isNull(), v).otherwise(times(v.bitwiseXOR(x["t"]))))
+        return bind(bind(h, lambda v: times(shifted(v, 13))), lambda v: shifted(v, 15))
+
+    return F.when(text.isNotNull(), bind(F.hex(F.encode(text, "UTF-8")), of))
+
+
+def murmur2_32(text: Column, seed: int = 0) -> Column:
+    """The 32-bit hash of a text's UTF-8 bytes, as an unsigned number in a bigint; null for null."""
+    return F.get(murmur2_32_many(text, [seed]), F.lit(0))
 
 
 def murmur2_32_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:

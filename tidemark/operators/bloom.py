@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.murmur import murmur2_32
+from ..common import spread
+from ..functions.murmur import murmur2_32_many
 
 
-def bit(key: Column, i: int, log_bits: int) -> Column:
-    """The i-th bit of a key in a filter of 2**log_bits bits: the low bits of its hash with seed i squared."""
-    return murmur2_32(key, i * i).bitwiseAND(F.lit((1 << log_bits) - 1).cast("bigint"))
+def hashes(keys: DataFrame, key: str, k: int) -> DataFrame:
+    """``key``, ``i`` and ``h`` of the k hashes of each different key that isn't null; the i-th has seed i squared."""
+    some = spread(keys.select(key).filter(F.col(key).isNotNull())).distinct()
+    return some.select(key, F.posexplode(murmur2_32_many(F.col(key), [i * i for i in range(k)])).alias("i", "h"))
 
 
 def key_bits(keys: DataFrame, key: str, log_bits: int, k: int) -> DataFrame:
-    """``key``, ``i`` and ``bit`` of the k bits of each different key that isn't null."""
-    each = F.array(*[F.struct(F.lit(i).alias("i"), bit(F.col(key), i, log_bits).alias("bit")) for i in range(k)])
-    return keys.select(key).filter(F.col(key).isNotNull()).distinct().select(key, F.explode(each).alias("x")).select(key, "x.i", "x.bit")
+    """``key``, ``i`` and ``bit`` of the k bits of each different key that isn't null: the low bits of its hashes."""
+    return hashes(keys, key, k).select(key, "i", F.col("h").bitwiseAND(F.lit((1 << log_bits) - 1).cast("bigint")).alias("bit"))
 
 
 def build(keys: DataFrame, key: str, log_bits: int, k: int) -> DataFrame:
@@ -44,10 +45,8 @@ def sweep(members: DataFrame, member: str, probes: DataFrame, key: str, log_bits
     """
 
     def bits(df: DataFrame, name: str) -> DataFrame:
-        hashes = F.array(*[F.struct(F.lit(i).alias("i"), murmur2_32(F.col(name), i * i).alias("h")) for i in range(most)])
-        d = df.select(name).filter(F.col(name).isNotNull()).distinct().select(name, F.explode(hashes).alias("x"))
         sizes = F.array(*[F.lit(b) for b in log_bits])
-        return d.select(name, "x.i", "x.h", F.explode(sizes).alias("b")).select(name, "i", "b", F.expr("h & (shiftleft(1L, b) - 1)").alias("bit"))
+        return hashes(df, name, most).select(name, "i", "h", F.explode(sizes).alias("b")).select(name, "i", "b", F.expr("h & (shiftleft(1L, b) - 1)").alias("bit"))
 
     first = bits(members, member).groupBy("b", "bit").agg(F.min("i").alias("first"))
     seen = bits(probes, key).join(first, ["b", "bit"], "left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import col, cut
+from ..common import col, cut, spread
 from ..functions.exprs import jaccard
 from ..functions.murmur import murmur2_32_spans
 
@@ -161,7 +161,8 @@ def shingle_ids(texts: list[str | None], p: ShingleParams) -> tuple[np.ndarray,
     start, size = chars[inside], behind[last[inside]] - chars[inside]
     h = murmur2_32_spans(data, start, size, p.seed).astype(np.int64)
     h = np.where(h >= 1 << 31, (1 << 32) - h, h) % p.slots  # the size of the signed hash
-    key = np.unique(owner[inside].astype(np.int64) * (1 << 32) + h)
+    key = np.sort(owner[inside].astype(np.int64) * (1 << 32) + h)
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key  # sorting beats the hash table of np.unique here
     return key & 0xFFFFFFFF, np.searchsorted(key, np.arange(len(raw) + 1, dtype=np.int64) << 32)
 
 
@@ -182,7 +183,7 @@ def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]
 
 def shingles(df: DataFrame, ident: str = "doc_id", text: str = "text", p: ShingleParams = ShingleParams()) -> DataFrame:
     """``ident`` and ``shingles``, the different shingle numbers of the whole text; an empty list for texts shorter than ``k`` and null."""
-    src = df.select(col(ident), col(text).cast("string").alias("t"))
+    src = spread(df.select(col(ident), col(text).cast("string").alias("t")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +198,7 @@ def shingles(df: DataFrame, ident: str = "doc_id", text: str = "text", p: Shingl
 def signatures(df: DataFrame, ident: str = "doc_id", text: str = "text", s: ShingleParams = ShingleParams(), p: LshParams = LshParams()) -> DataFrame:
     """``ident`` and ``signature``: the least value of each hash function over the text's shingles; 2147483647 without any."""
     family, prime, domain = hash_family(p, s.slots)
-    src = df.select(col(ident), col(text).cast("string").alias("t"))
+    src = spread(df.select(col(ident), col(text).cast("string").alias("t")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,8 +207,12 @@ def signatures(df: DataFrame, ident: str = "doc_id", text: str = "text", s: Shin
                 out = np.full((y - x, p.hashes), NOTHING, np.int32)
                 some = np.flatnonzero(ends[1:] > ends[:-1])
                 if len(some):
+                    ids, begin = ids.astype(np.uint64), ends[some]
                     for j, (a, c) in enumerate(family):
-                        out[some, j] = np.minimum.reduceat((a * ids + c) % prime % domain, ends[some])
+                        v = (ids * np.uint64(a) + np.uint64(c)) % np.uint64(prime)
+                        if prime > domain:
+                            v %= np.uint64(domain)
+                        out[some, j] = np.minimum.reduceat(v, begin)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, p.hashes, dtype=np.int32)), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), lists], names=[ident, "signature"])
 
@@ -264,19 +269,22 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, ident: str = "doc_id"
     """All pairs of classes of equal shingle sets whose Jaccard similarity is above ``threshold``: ``id1`` < ``id2``, ``similarity``.
 
     Exact: two sets above it share an element among the rarest of each, as many as may be missing and one more; sets meet
-    at these only, and pairs of too different sizes are left out before they are compared.  Empty sets are in no pair.
+    at these only; pairs of too different sizes, or whose last shared one lies too far back, are left out before they are compared.  Empty sets are in no pair.
     """
     t = single(threshold)
     c = cut(classes(sets.filter(F.size("shingles") > 0), "shingles", ident))
     seen = c.select(F.explode("shingles").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     ranked = c.select("class_id", F.explode("shingles").alias("e")).join(seen, "e").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("r"))
     size = F.size("r")
-    prefix = ranked.select("class_id", size.alias("size"), F.explode(F.slice("r", 1, F.greatest(F.lit(1), size - F.ceil(size * F.lit(t) - 1e-9).cast("int") + 1))).alias("x"))
-    prefix = prefix.filter("x.n > 1").select("class_id", "size", F.col("x.e").alias("e"))
-    a = prefix.select(F.col("class_id").alias("id1"), F.col("size").alias("n1"), "e")
-    b = prefix.select(F.col("class_id").alias("id2"), F.col("size").alias("n2"), "e")
+    rare = F.slice("r", 1, F.greatest(F.lit(1), size - F.ceil(size * F.lit(t) - 1e-9).cast("int") + 1))
+    prefix = ranked.select("class_id", size.alias("size"), F.posexplode(rare).alias("at", "x")).filter("x.n > 1")
+    a = prefix.select(F.col("class_id").alias("id1"), F.col("size").alias("n1"), F.col("at").alias("p1"), F.col("x.e").alias("e"))
+    b = prefix.select(F.col("class_id").alias("id2"), F.col("size").alias("n2"), F.col("at").alias("p2"), F.col("x.e").alias("e"))
     near = a.join(b, "e").filter((F.col("id1") < F.col("id2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(t - 1e-9)))
-    near = near.select("id1", "id2").distinct()
+    near = near.groupBy("id1", "id2", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    # What else two sets share lies behind their last shared rare element in both.
+    most = F.col("shared") + F.least(F.col("n1") - 1 - F.col("p1"), F.col("n2") - 1 - F.col("p2"))
+    near = near.filter(most >= (F.col("n1") + F.col("n2")) * F.lit(t / (1 + t)) - 1e-6).select("id1", "id2")
     s1, s2 = c.select(F.col("class_id").alias("id1"), F.col("shingles").alias("a")), c.select(F.col("class_id").alias("id2"), F.col("shingles").alias("b"))
     return near.join(s1, "id1").join(s2, "id2").withColumn("similarity", jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") > t).select("id1", "id2", "similarity")
 
