@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..common import col
+from ..common import col, spread
 
 
 @dataclass(frozen=True)
@@ -317,7 +317,7 @@ def text_statistics(df: DataFrame, common: DataFrame, ident: str = "doc_id", tex
     for lang, word in common.select("lang", "word").filter("lang is not null and word is not null").toLocalIterator():
         words.setdefault(lang, set()).add(word.lower())
     known = {k: frozenset(v) for k, v in words.items()}
-    src = df.select(col(ident), col(text).cast("string").alias("\0text"))
+    src = spread(df.select(col(ident), col(text).cast("string").alias("\0text")))
     schema = f"`{ident}` {df.schema[ident].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

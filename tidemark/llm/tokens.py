@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..common import col
+from ..common import col, spread
 
 #: Where the vocabulary files lie; a parameter of every operator here.
 VOCABULARIES = "/opt/tokenizers"
@@ -118,7 +118,7 @@ class Encoder:
 
 def _encoded(df: DataFrame, ident: str, text: str, model: bytes, lengths: bool, carry: tuple[str, ...]) -> DataFrame:
     names = [ident, *carry]
-    src = df.select(*[col(c) for c in names], col(text).cast("string").alias("\0text"))
+    src = spread(df.select(*[col(c) for c in names], col(text).cast("string").alias("\0text")))
     made = "n_tokens" if lengths else "ids"
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names] + [f"{made} " + ("bigint" if lengths else "array<int>")])
 
@@ -149,7 +149,7 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", name:
     """One row per row of ``df``: ``ident`` and ``ids``, the token ids of the whole text without special tokens.
 
     Empty and null texts have the empty list.  Strings of special tokens in a text are ordinary text.  Repeated rows
-    come out each; an empty table gives none; of further columns none is read.  Nothing is shuffled; the model, of fixed
+    come out each; an empty table gives none; of further columns none is read.  Nothing is shuffled but a table of few files; the model, of fixed
     size, goes to every task.
     """
     return _encoded(df, ident, text, serialise(read_ranks(name, path)), False, ())
