@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, similarity, tracking
+from . import cleaning, relational, similarity, tracking
 
-PARTS = [tracking, similarity, cleaning]
+PARTS = [tracking, similarity, relational, cleaning]
 
 
 def queries() -> dict:
