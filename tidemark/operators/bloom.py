@@ -28,7 +28,7 @@ def build(keys: DataFrame, key: str, log_bits: int, k: int) -> DataFrame:
 def probe(filter_bits: DataFrame, keys: DataFrame, key: str, log_bits: int, k: int) -> DataFrame:
     """The different keys all of whose bits are set: all members, and some others."""
     hit = key_bits(keys, key, log_bits, k).join(filter_bits, "bit")
-    return hit.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select(key)
+    return hit.groupBy(key).agg(F.count(F.lit(1)).alias("_set")).filter(F.col("_set") == k).select(key)
 
 
 def others(keys: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:

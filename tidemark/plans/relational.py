@@ -74,7 +74,7 @@ def _binary_matrix(by_columns):
             W.write_bytes(spark, f"{path}/{row['name']}.bin", row["content"])
         back = R.read_binary_matrix(spark, path, by_columns)
         name = F.regexp_extract("file", r"(\d+)\.bin$", 1)
-        return back.select(name.alias("name"), "row_no", F.size("vec_").cast("bigint").alias("n"), F.round(F.aggregate("vec_", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+        return back.select(name.alias("name"), "row_no", F.size("vec_").cast("bigint").alias("n"), F.round(F.aggregate("vec_", F.lit(1000.0), lambda a, v: a + v), 3).alias("total"))
 
     return query
 
@@ -199,9 +199,9 @@ ORACLES = {
     SELECT i, 0 AS j, CAST(n_nationkey AS DOUBLE) AS v FROM r UNION ALL SELECT i, 1, CAST(n_regionkey AS DOUBLE) FROM r""",
     "text_matrix_by_columns": """WITH r AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS j, n_nationkey, n_regionkey FROM nation)
     SELECT 0 AS i, j, CAST(n_nationkey AS DOUBLE) AS v FROM r UNION ALL SELECT 1, j, CAST(n_regionkey AS DOUBLE) FROM r""",
-    "binary_matrix": f"{_WIDE} SELECT name, r AS row_no, len(v) AS n, round(list_sum(v), 3) AS total FROM e",
+    "binary_matrix": f"{_WIDE} SELECT name, r AS row_no, len(v) AS n, round(1000 + list_sum(v), 3) AS total FROM e",
     "binary_matrix_by_columns": f"""{_WIDE}, c AS (SELECT name, generate_subscripts(v, 1) - 1 AS row_no, unnest(v) AS x FROM e)
-    SELECT name, row_no, count(*) AS n, round(sum(x), 3) AS total FROM c GROUP BY 1, 2""",
+    SELECT name, row_no, count(*) AS n, round(1000 + sum(x), 3) AS total FROM c GROUP BY 1, 2""",
     "single_csv": "SELECT n_nationkey, n_regionkey FROM nation",
     "pairs_tsv": "SELECT s_suppkey AS id1, s_suppkey + 1 AS id2, round(s_acctbal / 100, 1) AS similarity FROM supplier",
     "literal_table": "SELECT * FROM (VALUES ('slow'), ('normal'), ('fast')) AS t(zone)",
