@@ -27,11 +27,12 @@ class RunMachine:
     """Collapses sorted pieces into runs.  A piece is an event, or a run that is open at an edge.
 
     Pieces have the keys, first and last value (in steps of the resolution), first and last time, first and last id,
-    count.  ``push`` gives the runs that are finished, ``finish`` the one under way.
+    count, and the first and last range they come from.  ``push`` gives the runs that are finished, ``finish`` the one
+    under way.  With ``stitching``, pieces are open runs: two of one range were parted by the range itself.
     """
 
-    def __init__(self, n_keys: int, tolerance: int, max_gap: int | None):
-        self.n_keys, self.tolerance, self.max_gap, self.open = n_keys, tolerance, max_gap, None
+    def __init__(self, n_keys: int, tolerance: int, max_gap: int | None, stitching: bool = False):
+        self.n_keys, self.tolerance, self.max_gap, self.stitching, self.open = n_keys, tolerance, max_gap, stitching, None
 
     def push(self, rows: pa.Table) -> pa.Table:
         parts = [x for x in (self.open, rows) if x is not None and x.num_rows]
@@ -40,17 +41,19 @@ class RunMachine:
         table = pa.concat_tables(parts).combine_chunks()
         cols = [c.chunk(0) for c in table.columns]
         k = self.n_keys
-        v0, v1, t0, t1, i0, i1, n = (numbers(c) for c in cols[k:])
+        v0, v1, t0, t1, i0, i1, n, p0, p1 = (numbers(c) for c in cols[k:])
         new = changes(cols[:k])
         gone = (v0[1:] == GONE) | (v1[:-1] == GONE)
         alike = np.where(gone, v0[1:] == v1[:-1], np.abs(np.where(gone, 0, v0[1:]) - np.where(gone, 0, v1[:-1])) <= self.tolerance)
         if self.max_gap is not None:
             alike &= t0[1:] - t1[:-1] <= self.max_gap
+        if self.stitching:
+            alike &= p0[1:] != p1[:-1]
         new[1:] |= ~alike
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(n)] - 1
         total = np.add.reduceat(n, start)
-        runs = pa.table([c.take(pa.array(start)) for c in cols[:k]] + [pa.array(x) for x in (v0[start], v1[end], t0[start], t1[end], i0[start], i1[end], total)], schema=table.schema)
+        runs = pa.table([c.take(pa.array(start)) for c in cols[:k]] + [pa.array(x) for x in (v0[start], v1[end], t0[start], t1[end], i0[start], i1[end], total, p0[start], p1[end])], schema=table.schema)
         self.open = runs.slice(len(start) - 1)
         return runs.slice(0, len(start) - 1)
 
@@ -90,7 +93,7 @@ def collapse_runs(
     ).filter("_t is not null and _id is not null")
     order = [*names, "_t", "_id"]
     src = src.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
-    pieces = ["_v0", "_v1", "_t0", "_t1", "_i0", "_i1", "_n"]
+    pieces = ["_v0", "_v1", "_t0", "_t1", "_i0", "_i1", "_n", "_p0", "_p1"]
     kinds = [f"{x} {src.schema[x].dataType.simpleString()}" for x in names]
     schema = ", ".join([*kinds, *[f"{p} bigint" for p in pieces], "_open boolean"])
     limit, gap = int(round(tolerance / resolution)), None if max_gap_seconds is None else int(max_gap_seconds * 1e6)
@@ -101,10 +104,13 @@ def collapse_runs(
         return t.append_column("_open", pa.array([is_open] * t.num_rows, pa.bool_())).to_batches()
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, at_edge = RunMachine(n, limit, gap), True
+        from pyspark import TaskContext
+
+        machine, at_edge, here = RunMachine(n, limit, gap), True, TaskContext.get().partitionId()
         for b in batches:
             v, t, i = b.column(n), b.column(n + 1), b.column(n + 2)
-            events = pa.table([*b.columns[:n], v, v, t, t, i, i, pa.array(np.ones(b.num_rows, np.int64))], names=[*names, *pieces])
+            one, range_ = pa.array(np.ones(b.num_rows, np.int64)), pa.array(np.full(b.num_rows, here, np.int64))
+            events = pa.table([*b.columns[:n], v, v, t, t, i, i, one, range_, range_], names=[*names, *pieces])
             done = machine.push(events) if b.num_rows else events
             if at_edge and done.num_rows:
                 yield from marked(done.slice(0, 1), True)
@@ -114,7 +120,7 @@ def collapse_runs(
             yield from marked(last, True)
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = RunMachine(n, limit, gap)
+        machine = RunMachine(n, limit, gap, stitching=True)
         for b in batches:
             yield from marked(machine.push(pa.Table.from_batches([b]).drop_columns(["_open"])), False)
         if (last := machine.finish()) is not None:
