@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, relational, similarity, tracking
+from . import cleaning, relational, similarity, streams, tracking
 
-PARTS = [tracking, similarity, relational, cleaning]
+PARTS = [tracking, similarity, relational, streams, cleaning]
 
 
 def queries() -> dict:

@@ -82,6 +82,10 @@ def _paths(strict: bool) -> str:
     p AS (SELECT *, CASE WHEN px IS NULL OR py IS NULL THEN 0.0 ELSE sqrt(pow(x - px, 2) + pow(y - py, 2)) END AS step FROM l)"""
 
 
+#: Positions with segment and step, as the table p.
+PATHS_SQL = _paths(False)
+
+
 def _zoned(strict: bool) -> str:
     w = "(PARTITION BY player_id, quarter, game_id, segment ORDER BY recorded_at, moment_id"
     return f"""{_paths(strict)},
