@@ -85,53 +85,54 @@ class _Filter:
         self.m, self.r, self.steps, self.resets = model, [s * s for s in spread], steps, resets
 
     def run(self, t: list[float], z: list[list[float]], held: list[list[bool]], back: bool = False) -> list[list[bool]]:
-        """Flags by clock.  ``z``: readings by clock, NaN if missing; ``held``: readings that update nothing."""
+        """Flags by clock.  ``z``: readings by clock, NaN if missing; ``held``: readings that update nothing.
+
+        All clocks run and stand still together.  At each frame the part of the time that they ran is the one that suits
+        their readings best; it moves every clock's state on, that of a missing or withheld reading too.
+        """
         m, n, clocks = self.m, len(t), range(len(z))
         flags = [[False] * n for _ in clocks]
         x: list[float | None] = [None for _ in clocks]
-        p, since = [0.0 for _ in clocks], [0.0 for _ in clocks]
+        p = [0.0 for _ in clocks]
         waiting: list[list[int]] = [[] for _ in clocks]
-        sign, limit = (1.0 if back else -1.0), m.threshold * m.threshold
+        sign, limit, share = (1.0 if back else -1.0), m.threshold * m.threshold, 1.0
         for i in range(n):
+            dt = abs(t[i] - t[i - 1]) * m.clock_speed if i else 0.0
             here = [c for c in clocks if z[c][i] == z[c][i] and not held[c][i]]
             known = [c for c in here if x[c] is not None]
-            # Which part of the time since the last update the clocks ran: the hypothesis that suits them best.
-            best, share = None, 1.0
-            if known:
-                tries = [1.0, 0.0]
-                for c in known:
-                    dt = abs(t[i] - since[c])
-                    if dt > 0:
-                        tries.append(min(1.0, max(0.0, sign * (z[c][i] - x[c]) / (dt * m.clock_speed))))
-                for k, s in enumerate(tries):
-                    cost = 1.0 if k > 1 else 0.0
+            if known and dt > 0:
+                tries = [(1.0, 0.0), (0.0, 0.0)] + [(min(1.0, max(0.0, sign * (z[c][i] - x[c]) / dt)), 1.0) for c in known]
+                best, last = None, share
+                for s, cost in tries:
+                    cost += 2.0 * abs(s - last)
                     for c in known:
-                        e = z[c][i] - (x[c] + sign * s * m.clock_speed * abs(t[i] - since[c]))
-                        cost += min(e * e / (p[c] + self.r[c]), limit)
+                        e = z[c][i] - (x[c] + sign * s * dt)
+                        # A clock that may just have been set anew says less of whether the clocks run.
+                        cost += min(e * e / (p[c] + self.r[c]), 0.4 * limit if self._at_reset(c, z[c][i]) else limit)
                     if best is None or cost < best:
                         best, share = cost, s
+            for c in clocks:
+                if x[c] is not None:
+                    x[c] += sign * share * dt
+                    p[c] += 0.1 * self.r[c] if known else 0.1 * self.r[c] + dt * dt / 12
             for c in here:
                 if x[c] is None:
-                    x[c], p[c], since[c] = z[c][i], self.r[c], t[i]
+                    x[c], p[c] = z[c][i], self.r[c]
                     continue
-                ahead = x[c] + sign * share * m.clock_speed * abs(t[i] - since[c])
-                s = p[c] + self.r[c]
-                e = z[c][i] - ahead
-                if e * e <= limit * s:
-                    gain = s and p[c] / s
+                e = z[c][i] - x[c]
+                if e * e <= limit * (p[c] + self.r[c]):
                     # Steps of a coarse display hide where between them the clock is; it is never known better than that.
-                    gain = max(gain, 0.35)
-                    x[c], p[c], since[c] = ahead + gain * e, max((1 - gain) * p[c] + 0.1 * self.r[c], 0.1 * self.r[c]), t[i]
+                    gain = max(p[c] / (p[c] + self.r[c]), 0.35)
+                    x[c], p[c] = x[c] + gain * e, max((1 - gain) * p[c], 0.1 * self.r[c])
                     waiting[c] = []
                     continue
                 flags[c][i] = True
                 waiting[c].append(i)
-                level = self._new_level(c, waiting[c], t, z[c], back, last=i == n - 1 or t[n - 1] == t[i])
+                level = self._new_level(c, waiting[c], t, z[c], back, last=i == n - 1)
                 if level:
                     for j in level:
                         flags[c][j] = False
-                    j = level[-1]
-                    x[c], p[c], since[c] = z[c][j], self.r[c], t[j]
+                    x[c], p[c] = z[c][i], self.r[c]
                     waiting[c] = []
         return flags
 
@@ -146,16 +147,20 @@ class _Filter:
 
     def _new_level(self, c: int, w: list[int], t: list[float], z: list[float], back: bool, last: bool) -> list[int]:
         """The waiting frames that make up a new level: more of them in agreement than a spike has, or fewer at a value the clock is set to."""
+        enough = len(w) > self.m.spike_frames
+        parts = [[w[0]]]
+        for j in w[1:]:
+            if self._agree(c, t, z, parts[-1][-1], j):
+                parts[-1].append(j)
+            else:
+                parts.append([j])
+        # Set anew once or more, each time to a value it is set to.
+        if not back and (enough or last) and all(self._at_reset(c, z[part[0]]) for part in parts):
+            return w
         level = [j for j in w if self._agree(c, t, z, j, w[-1])]
         if len(level) > self.m.spike_frames:
-            rest = [j for j in w if j < level[0]]
-            # Set anew twice within a few frames: the first setting was real too.
-            if not back and rest and self._at_reset(c, z[rest[0]]) and self._at_reset(c, z[level[0]]) and all(self._agree(c, t, z, rest[0], j) for j in rest):
-                return rest + level
-            return level
-        if last and not back and self._at_reset(c, z[level[0]]):
             return level
-        return []
+        return level if last and not back and self._at_reset(c, z[level[0]]) else []
 
 
 def _first_sound(f: _Filter, c: int, t: list[float], z: list[float]) -> int | None:
