@@ -35,6 +35,7 @@ class KnnParams:
     probes: int = 24  # lists probed besides a vector's own, nearest first, of those that can hold something nearer
     block: int = 12  # rotated dimensions a step of the scan adds
     epsilon: float = 3.0  # deviations of the hypothesis test that abandons a candidate
+    dense_share: float = 0.05  # of candidates alive, above which a step is taken for all of them
     part_rows: int = 8192  # members of a list that one task holds
     seed: int = 20
 
@@ -110,9 +111,18 @@ class AdaptiveScan:
             factor = d / p.dim * (1 + p.epsilon / np.sqrt(d)) ** 2 if d < p.dim else 1.0
             return partial <= (bound * factor + slack)[row]
 
-        row, cand = np.nonzero(alive(part, b - a, np.arange(len(q))[:, None]) & np.isfinite(part))
+        every = np.arange(len(q))[:, None]
+        live, step = alive(part, b, every) & np.isfinite(part), 1
+        # While many candidates live on, a block is added for all at once; once they are few, for each of them.
+        while step < len(self.blocks) and live.mean() > p.dense_share:
+            a, b = self.blocks[step]
+            head = turned[:, a:b]
+            part += (head**2).sum(1)[:, None] + self.norms[step][None, :] - 2 * (head @ self.columns[step].T)
+            live &= alive(part, b, every)
+            step += 1
+        row, cand = np.nonzero(live)
         partial = part[row, cand]
-        for (a, b), column in zip(self.blocks[1:], self.columns[1:]):
+        for (a, b), column in zip(self.blocks[step:], self.columns[step:]):
             partial = partial + ((turned[row, a:b] - column[cand]) ** 2).sum(1)
             keep = alive(partial, b, row)
             row, cand, partial = row[keep], cand[keep], partial[keep]
