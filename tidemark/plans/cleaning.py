@@ -90,7 +90,29 @@ _REASON = """CASE WHEN line IS NULL THEN 'null line' WHEN f IS NULL THEN 'quotin
     ELSE concat_ws('; ', CASE WHEN NOT num_ok THEN 'eventnum' END, CASE WHEN NOT clock_ok THEN 'pctimestring' END, CASE WHEN NOT team_ok THEN 'player1_team_id' END) END"""
 _GONE = "({f} IS NULL OR isnan({f}))"
 
+
+
+def _filled_sql() -> str:
+    w = "PARTITION BY game_id, quarter, event_id ORDER BY recorded_at, moment_id"
+    near, out = [], ["moment_id"]
+    for f in CLOCKS:
+        at, seen = f"CASE WHEN NOT {_GONE.format(f=f)} THEN epoch_us(recorded_at) END", f"CASE WHEN NOT {_GONE.format(f=f)} THEN {f} END"
+        for x, name in ((at, "t"), (seen, "v")):
+            near.append(f"last_value({x} IGNORE NULLS) OVER ({w} ROWS UNBOUNDED PRECEDING) AS {f}_{name}0")
+            near.append(f"first_value({x} IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {f}_{name}1")
+        filled = f"({_GONE.format(f=f)} AND ({f}_t0 IS NOT NULL OR {f}_t1 IS NOT NULL))"
+        later = f"({f}_t0 IS NULL OR {f}_t1 - epoch_us(recorded_at) < epoch_us(recorded_at) - {f}_t0)"
+        pick = lambda x, f=f, later=later: f"CASE WHEN {later} THEN {f}_{x}1 ELSE {f}_{x}0 END"
+        out += [
+            f"CASE WHEN {filled} THEN {pick('v')} ELSE {f} END AS {f}_value",
+            f"{filled} AS {f}_filled",
+            f"CASE WHEN {filled} THEN abs(epoch_us(recorded_at) - ({pick('t')})) / 1e6 END AS {f}_donor_gap",
+        ]
+    return f"WITH n AS (SELECT *, {', '.join(near)} FROM moments) SELECT {', '.join(out)} FROM n"
+
+
 ORACLES: dict[str, str] = {
+    "p3_filled": _filled_sql(),
     "p1_found": f"{_LINES} SELECT line_id FROM judged WHERE f IS NULL OR n <> 9 OR NOT (num_ok AND clock_ok AND team_ok)",
     "p1_reasons": f"{_LINES} SELECT line_id, source_file, {_REASON} AS reject_reason FROM judged WHERE f IS NULL OR n <> 9 OR NOT (num_ok AND clock_ok AND team_ok)",
     "p1_events": f"""{_LINES}
