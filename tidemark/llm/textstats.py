@@ -31,7 +31,7 @@ class ProseParams:
     symbol_share: float = 0.25
     bare_token_share: float = 0.3  # of tokens without a letter or digit
     tag_share: float = 0.45  # of hash tags, mentions and links among tokens
-    odd_pairs: float = 0.03  # of word pairs that no sentence has
+    odd_pairs: float = 0.022  # of word pairs that no sentence has
     repeat_share: float = 0.45  # of distinct sentences, below which a text is merely repeated
     short_line: int = 64
 
@@ -249,11 +249,9 @@ def _junk(text: str, lines: list[str], words: list[str], low: list[str], solid:
             return "one word a line"
         if len(set(low)) <= max(2, 0.04 * len(low)):
             return "repeated words"
-        odd = pairs = 0
-        for a, b in zip(low, low[1:]):
-            pairs += 1
-            odd += (a in ARTICLES and b in NEVER_AFTER_ARTICLE) or (a in PREPOSITIONS and b in NEVER_AFTER_PREPOSITION) or (a in JOINING and b in NEVER_AFTER_JOINING)
-        if pairs >= 12 and odd >= 2 and odd > p.odd_pairs * pairs:
+        pairs = list(zip(low, low[1:]))
+        odd = sum(_odd_pair(a, b) for a, b in pairs)
+        if len(pairs) >= 12 and odd >= 2 and odd > p.odd_pairs * len(pairs):
             return "scrambled"
         if s["common_words"] < 0.1 and s["outside_prose"] < 0.5 and _no_language(low):
             return "no language"
@@ -263,6 +261,15 @@ def _junk(text: str, lines: list[str], words: list[str], low: list[str], solid:
     return ""
 
 
+def _odd_pair(a: str, b: str) -> bool:
+    """Whether a word never follows another in a sentence ("early on and" is one)."""
+    return (
+        (a in ARTICLES and b in NEVER_AFTER_ARTICLE)
+        or (a in PREPOSITIONS and b in NEVER_AFTER_PREPOSITION and (a, b) != ("on", "and"))
+        or (a in JOINING and b in NEVER_AFTER_JOINING)
+    )
+
+
 def _squeezed(text: str) -> float:
     """Size after compression, as a share: in pieces, so that long texts aren't taken for repeated ones."""
     data = text.encode()
