@@ -178,8 +178,8 @@ def measure(text: str | None, common: dict[str, frozenset[str]], p: ProseParams
     if not solid:
         return out
     if lines:
-        out["length_period"] = _period(np.array([len(x) for x in lines[:2000]], float))
-        out["indent_period"] = _period(np.array([len(x) - len(x.lstrip()) for x in lines[:2000]], float)) if any(x[:1].isspace() for x in lines) else 0.0
+        out["length_period"] = _period(np.array([len(x) for x in lines], float))
+        out["indent_period"] = _period(np.array([len(x) - len(x.lstrip()) for x in lines], float)) if any(x[:1].isspace() for x in lines) else 0.0
     kinds = _line_kinds(lines, common)
     _short_lines(lines, kinds, p)
     weight = Counter()
