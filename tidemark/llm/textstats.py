@@ -43,6 +43,7 @@ PREPOSITIONS = frozenset("of to for with from by at in on per into".split())
 NEVER_AFTER_PREPOSITION = frozenset("of and or is was has had have are were than been would will".split())
 JOINING = frozenset("and or but than".split())
 NEVER_AFTER_JOINING = frozenset("and or of but is was be been are were than".split())
+ODD_FIRST = ARTICLES | PREPOSITIONS | JOINING
 #: Marks that end a sentence, in the scripts the texts are in.
 ENDINGS = ".!?…。！？;:·\"')”’»"
 TERMINAL = ".!?…。！？"
@@ -57,9 +58,12 @@ RECORD = re.compile(r"^\s*[\[{(].*[\]})],?\s*$")
 RULE = re.compile(r"^[\s+|=\-_:*─━┼│]{4,}$")
 GAPS = re.compile(r"\S(?:\t+| {2,})(?=\S)")
 NUMBER = re.compile(r"[+\-]?[\d.,:%/]*\d[\d.,:%/]*")
+HEX = re.compile(r"[0-9a-fA-F]{2}")
 PAIRED = re.compile(r"\b[\w.\-]+=\S+")
+BARE = re.compile(r"(?<!\S)(?:_|[^\w\s])+(?!\S)")
+DIGIT = re.compile(r"\d")
 TAG = re.compile(r"<[^<>]{0,200}>|&[a-z#0-9]{2,8};")
-REFERENCE = re.compile(r"(?:[#@]\w|https?://|www\.)")
+REFERENCE = re.compile(r"(?<!\S)(?:[#@]\w|https?://|www\.)")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -110,11 +114,11 @@ def _line_kinds(lines: list[str], common: dict[str, frozenset[str]]) -> list[str
         d, k = cells[i]
         bare = x.strip()
         tokens = bare.split()
-        numeric = sum(bool(NUMBER.fullmatch(t)) for t in tokens)
+        numeric = sum(t[0] in "+-.,:0123456789" and bool(NUMBER.fullmatch(t)) for t in tokens) if DIGIT.search(bare) else 0
         beside = [cells[j] for j in (i - 1, i + 1) if 0 <= j < n]
         if RULE.match(bare):
             kinds[i] = "table"
-        elif TAG.search(bare) and sum(map(len, TAG.findall(bare))) > 0.5 * len(bare):
+        elif ("<" in bare or "&" in bare) and sum(map(len, TAG.findall(bare))) > 0.5 * len(bare):
             kinds[i] = "tag"
         elif (d == "|" and k >= 2 and (k >= 4 or (d, k) in beside)) or (d and k >= 2 and (d, k) in beside) or (RECORD.match(bare) and bare.count(":") + bare.count(",") >= 2):
             kinds[i] = "table"
@@ -124,7 +128,7 @@ def _line_kinds(lines: list[str], common: dict[str, frozenset[str]]) -> list[str
             kinds[i] = "table"
         elif len(tokens) >= 2 and numeric >= 0.6 * len(tokens):
             kinds[i] = "table"
-        elif len(PAIRED.findall(bare)) >= 2:
+        elif "=" in bare and len(PAIRED.findall(bare)) >= 2:
             kinds[i] = "table"
         elif MARKER.match(x) or STAMP.match(x):
             kinds[i] = "list"
@@ -156,13 +160,13 @@ def measure(text: str | None, common: dict[str, frozenset[str]], p: ProseParams
     lines = [x for x in LINES.split(text) if x.strip()]
     words = WORDS.findall(text)
     low = [w.lower() for w in words]
-    chars = len(text)
-    solid = [c for c in text if not c.isspace()]
-    n = max(1, len(solid))
-    symbols = sum(_is_symbol(c) for c in solid)
-    by_lang = {lang: sum(w in ws for w in low) for lang, ws in common.items()}
+    # Every different character is looked at once.
+    solid = {c: k for c, k in Counter(text).items() if not c.isspace()}
+    n = max(1, sum(solid.values()))
+    symbols = sum(k for c, k in solid.items() if _is_symbol(c))
+    by_lang = {lang: sum(map(ws.__contains__, low)) for lang, ws in common.items()}
     out = {
-        "n_chars": chars,
+        "n_chars": len(text),
         "n_words": len(words),
         "n_lines": len(lines),
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
@@ -222,25 +226,25 @@ def _items(line: str, common: dict[str, frozenset[str]]) -> bool:
     return False
 
 
-def _junk(text: str, lines: list[str], words: list[str], low: list[str], solid: list[str], s: dict, p: ProseParams) -> str:
+def _junk(text: str, lines: list[str], words: list[str], low: list[str], solid: dict[str, int], s: dict, p: ProseParams) -> str:
     """Why nobody can read the text as sentences; empty if it can be."""
-    n = len(solid)
+    n = sum(solid.values())
     tokens = text.split()
-    wide = sum(bool(WIDE.match(c)) for c in solid) / n
-    letters = sum(c.isalpha() for c in solid) / n
+    wide = sum(k for c, k in solid.items() if WIDE.match(c)) / n
+    letters = sum(k for c, k in solid.items() if c.isalpha()) / n
     if letters < 0.05 and not any(c.isdigit() for c in solid):
         return "no letters"
     table_like = s["aligned_lines"] > 0.5
     if not table_like and s["outside_prose"] <= p.case_share:
         if s["symbol_ratio"] > p.symbol_share:
             return "symbols"
-        if sum(not any(c.isalnum() for c in t) for t in tokens) > p.bare_token_share * len(tokens) and len(tokens) >= 4:
+        if len(tokens) >= 4 and len(BARE.findall(text)) > p.bare_token_share * len(tokens):
             return "bare tokens"
-    if len(tokens) >= 4 and sum(bool(REFERENCE.match(t)) for t in tokens) > p.tag_share * len(tokens):
+    if len(tokens) >= 4 and len(REFERENCE.findall(text)) > p.tag_share * len(tokens):
         return "tags"
     if wide < 0.2 and max(map(len, tokens)) > 60 and sum(len(t) for t in tokens if len(t) > 40) > 0.5 * n:
         return "unbroken"
-    if len(tokens) >= 12 and sum(len(t) == 2 and all(c in "0123456789abcdefABCDEF" for c in t) for t in tokens) > 0.8 * len(tokens):
+    if len(tokens) >= 12 and n <= 2.5 * len(tokens) and sum(bool(HEX.fullmatch(t)) for t in tokens) > 0.8 * len(tokens):
         return "hex"
     if len(words) >= 8 and wide < 0.2:
         if s["mean_word_length"] < 1.7 and letters > 0.5:
@@ -250,7 +254,7 @@ def _junk(text: str, lines: list[str], words: list[str], low: list[str], solid:
         if len(set(low)) <= max(2, 0.04 * len(low)):
             return "repeated words"
         pairs = list(zip(low, low[1:]))
-        odd = sum(_odd_pair(a, b) for a, b in pairs)
+        odd = sum(a in ODD_FIRST and _odd_pair(a, b) for a, b in pairs)
         if len(pairs) >= 12 and odd >= 2 and odd > p.odd_pairs * len(pairs):
             return "scrambled"
         if s["common_words"] < 0.1 and s["outside_prose"] < 0.5 and _no_language(low):
