@@ -66,3 +66,34 @@ def test_scan_abandons_and_keeps_the_nearest():
         d[i] = np.inf
         hits += len(set(near[row == i]) & set(np.argsort(d)[:5]))
     assert want is None and hits >= 0.97 * 250 and np.all(np.diff(dist[row == 3]) >= 0)
+
+
+@pytest.mark.parametrize("sizes", [dict(), dict(part_rows=30, group_rows=400)])
+def test_recall_where_far_more_lists_qualify_than_the_first_round_probes(spark, sizes):
+    rng = np.random.default_rng(5)
+    classes = [rng.normal(0, 1, (2400, 16)), rng.normal(40, 0.01, (600, 16)), rng.normal(-40, 3, (600, 16))]
+    x = np.concatenate(classes).astype(np.float32)
+    ids = rng.permutation(len(x)) + 1
+    p = KnnParams(k=5, dim=16, list_size=20, block=4, probes=6, **sizes)
+    got = search(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x)], p)
+    want = exact(x, ids, 5)
+    kind = np.repeat(np.arange(3), [len(c) for c in classes])
+    recall = [np.mean([len({a for a, _ in got[int(i)]} & {a for a, _ in want[int(i)]}) / 5 for i in ids[kind == c]]) for c in range(3)]
+    assert min(recall) >= 0.99, recall
+    assert all(len(v) == len({a for a, _ in v}) == 5 for v in got.values())
+
+
+def test_many_lists_qualify_with_the_parameters_as_they_are(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40_000, 48)).astype(np.float32)
+    p = KnnParams()
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, vec_ array<float>").repartition(4)
+    got = {}
+    for r in nearest_vectors(rows, p=p).filter("id % 400 = 7").collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    hits = 0
+    for i in range(7, len(x), 400):
+        d = ((x.astype(float) - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.argsort(d)[:5]))
+    assert hits >= 0.97 * 5 * len(got) and len(got) == 100

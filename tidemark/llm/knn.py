@@ -5,7 +5,8 @@ of rotated dimensions: after a random rotation the partial squared distance of
 the first d of D dimensions tells the whole one up to a factor that a hypothesis
 test bounds, so candidates whose partial distance is too large are abandoned
 early.  The scan of a vector's own list gives the distance it has to beat
-elsewhere, and only lists that can hold something nearer are probed.
+elsewhere, and every list that can hold something nearer is probed: the nearest
+ones first, then, by the distance to beat after them, all that are left.
 """
 
 from __future__ import annotations
@@ -32,14 +33,19 @@ class KnnParams:
     max_lists: int = 4096
     sample: int = 60_000
     fit_rounds: int = 8
-    probes: int = 24  # lists probed besides a vector's own, nearest first, of those that can hold something nearer
+    probes: int = 24  # lists probed besides a vector's own in the first round, nearest first; the second takes all others that can hold something nearer
     block: int = 12  # rotated dimensions a step of the scan adds
     epsilon: float = 3.0  # deviations of the hypothesis test that abandons a candidate
     dense_share: float = 0.05  # of candidates alive, above which a step is taken for all of them
     part_rows: int = 8192  # members of a list that one task holds
+    group_rows: int = 65_536  # members of neighbouring lists that one task of the second round holds
     seed: int = 20
 
 
+#: Fixed value: bounds are met with so much room for rounding.
+SLACK = 1 + 1e-6
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random rotation."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -108,7 +114,8 @@ class AdaptiveScan:
         slack = 1e-4 * (1.0 + (turned**2).sum(1))  # of distances worked out in single precision
 
         def alive(partial: np.ndarray, d: int, row) -> np.ndarray:
-            factor = d / p.dim * (1 + p.epsilon / np.sqrt(d)) ** 2 if d < p.dim else 1.0
+            # The partial distance is never above the whole one, so a factor above 1 would keep what is surely too far.
+            factor = min(1.0, d / p.dim * (1 + p.epsilon / np.sqrt(d)) ** 2)
             return partial <= (bound * factor + slack)[row]
 
         every = np.arange(len(q))[:, None]
@@ -163,7 +170,8 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
     are there, all of them come out.  Empty tables give no rows; further columns are not looked at.
 
     Centres are fitted on at most ``sample`` vectors, taken by a hash of the id; the centres (``max_lists`` at most)
-    are all that goes to every task.  A list beyond ``part_rows`` members is searched in parts.
+    are all that goes to every task.  A list beyond ``part_rows`` members is searched in parts.  No list that can hold
+    something nearer is left out: vectors with more than ``probes`` such lists go on to groups of neighbouring lists.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -204,7 +212,8 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
         last = np.cumsum(count) - 1
         full = count >= k
         worst[full] = dist[last[full]]
-        probe = _probes(x, int(t.column("list")[0].as_py()), int(t.column("part")[0].as_py()), worst, centre, parts, p)
+        own = int(t.column("list")[0].as_py())
+        probe, unfinished = _probes(x, own, int(t.column("part")[0].as_py()), worst, centre, parts, p)
         offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
         where = [np.r_[0, np.cumsum([len(a) for a in probe])].astype(np.int32), np.concatenate(probe) if probe else np.zeros(0, np.int64)]
         return pa.table(
@@ -215,10 +224,12 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
                 "near": pa.ListArray.from_arrays(offsets, pa.array(near, pa.int64())),
                 "dist": pa.ListArray.from_arrays(offsets, pa.array(dist, pa.float64())),
                 "probe": pa.ListArray.from_arrays(pa.array(where[0]), pa.array(where[1], pa.int64())),
+                "list": pa.array(np.full(len(x), own, np.int32)),
+                "unfinished": pa.array(unfinished),
             }
         )
 
-    first = cut(members.groupBy("list", "part").applyInArrow(own_list, "rep bigint, v array<float>, reach double, near array<bigint>, dist array<double>, probe array<bigint>"))
+    first = cut(members.groupBy("list", "part").applyInArrow(own_list, "rep bigint, v array<float>, reach double, near array<bigint>, dist array<double>, probe array<bigint>, list int, unfinished boolean"))
     asked = first.filter(F.size("probe") > 0).select(F.explode("probe").alias("unit"), "rep", "v", "reach")
     held = members.withColumn("unit", F.col("list").cast("bigint") * (1 << 20) + F.col("part")).select("unit", "rep", "v")
     # A list that is asked by many goes to several tasks, each with a share of those that ask.
@@ -240,6 +251,9 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
 
     more = held.groupBy("unit", "copy").cogroup(asked.groupBy("unit", "copy")).applyInArrow(other_list, "rep bigint, near bigint, d double")
     mine = first.select("rep", F.explode(F.arrays_zip("near", "dist")).alias("x")).select("rep", F.col("x.near").alias("near"), F.col("x.dist").alias("d"))
+    if first.filter("unfinished").limit(1).count():
+        more = cut(more)
+        more = more.unionByName(_remaining(first, members, mine.unionByName(more), centre, turn, p))
     found = mine.unionByName(more)
 
     # The first ids of each set of equal vectors, which other vectors may have as neighbours.
@@ -249,7 +263,7 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
     heads = equal.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("head"))
     reach = found.join(heads.select(F.col("rep").alias("near"), "head"), "near", "left").select("rep", F.coalesce("head", "near").alias("neighbour"), "d")
     reach = reach.unionByName(heads.select("rep", F.col("head").alias("neighbour"), F.lit(0.0).alias("d")))
-    # At most (probes + 1) * k * (k + 1) candidates a vector.
+    # At most k * (k + 1) candidates a vector for its own list, each of the first probes and each group of lists.
     best = reach.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "neighbour"))), 1, k + 1).alias("best"))
     alone = distinct.filter("copies = 1").select("rep", F.col("rep").alias("id"))
     return (
@@ -260,29 +274,148 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
     )
 
 
-def _probes(x: np.ndarray, own: int, part: int, worst: np.ndarray, centre: np.ndarray, parts: dict[int, int], p: KnnParams) -> list[np.ndarray]:
-    """Units (list and part) to probe for each vector of one list: lists on whose side of the dividing plane something nearer can lie."""
-    out = []
+def _leads(v: np.ndarray, own: np.ndarray, centre: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """How far each vector is at least from whatever lies in the lists of the centres ``to``: its distance from the dividing plane between its own centre and theirs."""
+    mine, norm = centre[own], (to**2).sum(1)[None, :]
+    d = (v**2).sum(1)[:, None] + norm - 2 * v @ to.T
+    apart = np.sqrt(np.maximum((mine**2).sum(1)[:, None] + norm - 2 * mine @ to.T, 0))
+    lead = d - ((v - mine) ** 2).sum(1)[:, None]
+    return np.divide(lead, 2 * apart, out=np.full(lead.shape, -np.inf), where=apart > 0)
+
+
+def _probes(x: np.ndarray, own: int, part: int, worst: np.ndarray, centre: np.ndarray, parts: dict[int, int], p: KnnParams) -> tuple[list[np.ndarray], np.ndarray]:
+    """Units (list and part) of the first round for each vector of one list, and whether further lists can hold something nearer."""
+    out, unfinished = [], np.zeros(len(x), bool)
     c = centre.astype(np.float64)
-    apart = np.sqrt(((c - c[own]) ** 2).sum(1))
-    apart[own] = np.inf
+    held = np.array([j in parts for j in range(len(c))])
     for a in range(0, len(x), 1024):
         v = x[a : a + 1024].astype(np.float64)
-        d = ((v**2).sum(1)[:, None] + (c**2).sum(1)[None, :]) - 2 * v @ c.T
-        lead = (d - d[:, own : own + 1]) / (2 * apart[None, :])
-        lead[:, own] = np.inf
-        reach = np.sqrt(worst[a : a + 1024])
+        lead = _leads(v, np.full(len(v), own), c, c)
+        lead[:, own], lead[:, ~held] = np.inf, np.inf
+        reach = np.sqrt(worst[a : a + 1024]) * SLACK
         for i in range(len(v)):
-            near = np.flatnonzero(lead[i] <= reach[i])
-            near = near[near != own]
+            near = np.flatnonzero((lead[i] <= reach[i]) & (lead[i] < np.inf))
             if len(near) > p.probes:
                 near = near[np.argsort(lead[i][near], kind="stable")[: p.probes]]
-            units = [int(j) * (1 << 20) + s for j in near for s in range(parts.get(int(j), 0))]
+                unfinished[a + i] = True
+            units = [int(j) * (1 << 20) + s for j in near for s in range(parts[int(j)])]
             units += [own * (1 << 20) + s for s in range(parts.get(own, 1)) if s != part]
             out.append(np.array(units, np.int64))
+    return out, unfinished
+
+
+def _groups(centre: np.ndarray, size: dict[int, int], p: KnnParams) -> dict[int, int]:
+    """The group of each unit: neighbouring lists, about ``group_rows`` members together.  ``size``: members by unit."""
+    home, _ = nearest_centre(centre, fit_centres(centre, max(1, len(centre) // 64), p.fit_rounds, p.seed))
+    out, group, rows = {}, 0, 0
+    for unit in sorted(size, key=lambda u: (home[u >> 20], u)):
+        if rows and rows + size[unit] > p.group_rows:
+            group, rows = group + 1, 0
+        out[unit], rows = group, rows + size[unit]
     return out
 
 
+def _remaining(first: DataFrame, members: DataFrame, found: DataFrame, centre: np.ndarray, turn: np.ndarray, p: KnnParams) -> DataFrame:
+    """What the first round left: members of all further lists that can hold something nearer than the k-th found so far.
+
+    A vector goes once to each group of lists that it asks any of, and its distance to beat shrinks from list to list.
+    """
+    spark, k, dim = first.sparkSession, p.k, p.dim
+    c = centre.astype(np.float64)
+    unit = F.col("list").cast("bigint") * (1 << 20) + F.col("part")
+    # A row for each unit: as many as lists, and one more for each further part_rows members.
+    size = {int(r[0]): int(r[1]) for r in members.groupBy(unit).count().collect()}
+    group_of = _groups(centre, size, p)
+    asks = np.zeros((len(c), max(group_of.values()) + 1), np.float32)
+    for u, g in group_of.items():
+        asks[u >> 20, g] = 1
+
+    left = first.filter("unfinished").select("rep", "v", "list", F.transform("probe", lambda u: F.shiftright(u, 20).cast("int")).alias("done"))
+    known = found.join(left.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("known"))
+    left = left.join(known, "rep", "left").select("rep", "v", "list", "done", F.coalesce("known", F.array().cast("array<double>")).alias("known"))
+
+    def distances(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        """The k distances known so far, infinite where there are fewer."""
+        out = np.full((len(column), k), np.inf)
+        for i, row in enumerate(column.to_pylist()):
+            out[i, : len(row)] = row
+        return out
+
+    def asked_lists(v: np.ndarray, own: np.ndarray, done: list, to: np.ndarray) -> np.ndarray:
+        """Bounds for the lists ``to``, infinite for those that were scanned already."""
+        lead = _leads(v, own, c, c[to])
+        place = np.full(len(c), -1)
+        place[to] = np.arange(len(to))
+        row = np.repeat(np.arange(len(v)), [len(x) + 1 for x in done])
+        at = place[np.concatenate([np.r_[o, x].astype(np.int64) for o, x in zip(own, done)])]
+        lead[row[at >= 0], at[at >= 0]] = np.inf
+        return lead
+
+    every = np.arange(len(c))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                b = whole.slice(a, 1024)
+                v, own, done = _matrix(b.column(1), dim).astype(np.float64), b.column(2).to_numpy(), b.column(3).to_pylist()
+                lead = asked_lists(v, own, done, every)
+                near = (lead <= np.sqrt(distances(b.column(4))[:, -1:]) * SLACK) & (lead < np.inf)
+                row, group = np.nonzero(near.astype(np.float32) @ asks)
+                b = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), *b.columns], names=["group", *b.schema.names])
+
+    asked = cut(left.mapInArrow(ask, "group int, rep bigint, v array<float>, list int, done array<int>, known array<double>"))
+    load = {int(r[0]): -(-r[1] // (4 * p.part_rows)) for r in asked.groupBy("group").count().collect()}
+    if not load:
+        return spark.createDataFrame([], "rep bigint, near bigint, d double")
+    # A table of one row for each unit and each share of those that ask its group.
+    held = spark.createDataFrame([(u, g, load[g]) for u, g in group_of.items() if g in load], "unit bigint, group int, copies int")
+    held = members.select(unit.alias("unit"), "rep", "v").join(F.broadcast(held), "unit").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    shares = spark.createDataFrame(list(load.items()), "group int, copies int")
+    asked = asked.join(F.broadcast(shares), "group").withColumn("copy", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")).drop("copies")
+
+    def scan_group(m: pa.Table, q: pa.Table) -> pa.Table:
+        ids_out, near_out, dist_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if m.num_rows and q.num_rows:
+            m, q = m.combine_chunks().sort_by("unit"), q.combine_chunks().sort_by("list")
+            units, start = np.unique(m.column("unit").to_numpy(), return_index=True)
+            x, rep = _matrix(m.column("v"), dim), m.column("rep").to_numpy()
+            scans = [AdaptiveScan(x[a:b], rep[a:b], turn, p) for a, b in zip(start, [*start[1:], len(x)])]
+            to, which = np.unique(units >> 20, return_inverse=True)
+            for a in range(0, q.num_rows, 512):
+                b = q.slice(a, 512)
+                v, ids, own = _matrix(b.column("v"), dim), b.column("rep").to_numpy(), b.column("list").to_numpy()
+                lead = asked_lists(v.astype(np.float64), own, b.column("done").to_pylist(), to)
+                before = distances(b.column("known"))
+                best, near = np.full(before.shape, np.inf), np.full(before.shape, np.iinfo(np.int64).max)
+                reach = before[:, -1].copy()
+                for j in np.argsort(lead.min(0)[which], kind="stable"):
+                    bound = lead[:, which[j]]
+                    sel = np.flatnonzero((bound <= np.sqrt(reach) * SLACK) & (bound < np.inf))
+                    if not len(sel):
+                        continue
+                    row, ident, dist = scans[j].search(v[sel], ids[sel], reach[sel])
+                    if not len(row):
+                        continue
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    hit, at = np.unique(row, return_inverse=True)
+                    new = np.full((len(hit), k), np.inf)
+                    who = np.full((len(hit), k), np.iinfo(np.int64).max)
+                    new[at, place], who[at, place] = dist, ident
+                    hit = sel[hit]
+                    d, i = np.concatenate([best[hit], new], 1), np.concatenate([near[hit], who], 1)
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    best[hit], near[hit] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                    reach[hit] = np.sort(np.concatenate([before[hit], best[hit]], 1), 1)[:, k - 1]
+                row, at = np.nonzero(np.isfinite(best) & (best <= reach[:, None]))
+                ids_out.append(ids[row])
+                near_out.append(near[row, at])
+                dist_out.append(best[row, at])
+        return pa.table({"rep": pa.array(np.concatenate(ids_out)), "near": pa.array(np.concatenate(near_out)), "d": pa.array(np.concatenate(dist_out))})
+
+    return held.groupBy("group", "copy").cogroup(asked.groupBy("group", "copy")).applyInArrow(scan_group, "rep bigint, near bigint, d double")
+
+
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """Pairs ``vec_id_1`` < ``vec_id_2`` of which at least one is among the nearest of the other."""
     return neighbours.select(F.least("id", "neighbour").alias("vec_id_1"), F.greatest("id", "neighbour").alias("vec_id_2")).distinct()
