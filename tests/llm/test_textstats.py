@@ -66,3 +66,19 @@ def test_whole_table(spark):
     assert all(got[i] == kind for i, (kind, _) in enumerate(CASES))
     assert text_statistics(df.limit(0), common).count() == 0
     assert text_statistics(df, common.limit(0)).count() == len(rows)
+
+
+def _passage(sentences, end=". "):
+    """Sentences that are all different, of many words."""
+    word = lambda i: "bdfgklmnprst"[i % 12] + "aeiou"[i % 5] + "lmnrst"[i // 7 % 6] + "aeo"[i // 42 % 3] + "bdgkmnt"[i % 7] + "eiou"[i // 126 % 4] + "nrsl"[i // 504 % 4]
+    one = "the {} of {} was {} and {} had {} by the {} with {}"
+    return end.join(one.format(*[word(7 * i + j) for j in range(7)]) for i in range(sentences)) + end
+
+
+@pytest.mark.parametrize("sentences", [20, 40, 300])
+@pytest.mark.parametrize("end", [". ", " "])
+def test_long_passages_repeated(sentences, end):
+    text = _passage(sentences, end)
+    assert measure(text, COMMON)["kind"] == "prose"
+    assert measure(text * 8, COMMON)["kind"] == "junk"
+    assert measure(text * 2, COMMON)["kind"] == "prose"

@@ -32,7 +32,9 @@ class ProseParams:
     bare_token_share: float = 0.3  # of tokens without a letter or digit
     tag_share: float = 0.45  # of hash tags, mentions and links among tokens
     odd_pairs: float = 0.022  # of word pairs that no sentence has
-    repeat_share: float = 0.45  # of distinct sentences, below which a text is merely repeated
+    repeat_share: float = 0.45  # of distinct sentences, below which a text is merely repeated if it also compresses well
+    repeat_chars: float = 0.3  # of characters in distinct sentences, or of distinct word runs, below which a text is merely repeated
+    repeat_run: int = 8  # words
     short_line: int = 64
 
 
@@ -260,11 +262,22 @@ def _junk(text: str, lines: list[str], words: list[str], low: list[str], solid:
         if s["common_words"] < 0.1 and s["outside_prose"] < 0.5 and _no_language(low):
             return "no language"
     sentences = [x.strip() for x in SENTENCES.split(text) if x and len(x.strip()) > 12]
-    if len(sentences) >= 3 and len(set(sentences)) <= max(1, p.repeat_share * len(sentences)) and s["outside_prose"] < 0.5 and _squeezed(text) < 0.12:
-        return "repeated"
+    if s["outside_prose"] < 0.5:
+        if len(sentences) >= 3 and len(set(sentences)) <= max(1, p.repeat_share * len(sentences)) and _squeezed(text) < 0.12:
+            return "repeated"
+        if len(low) >= 20 * p.repeat_run and _distinct_share(sentences, low, p) < p.repeat_chars:
+            return "repeated"
     return ""
 
 
+def _distinct_share(sentences: list[str], low: list[str], p: ProseParams) -> float:
+    """Of the characters of a whole text, the share in distinct sentences; of its runs of words, the share of distinct ones, if that is less."""
+    runs = len(low) - p.repeat_run + 1
+    share = len(set(zip(*(low[i : i + runs] for i in range(p.repeat_run))))) / runs
+    total = sum(map(len, sentences))
+    return min(share, sum(map(len, set(sentences))) / total) if total else share
+
+
 def _odd_pair(a: str, b: str) -> bool:
     """Whether a word never follows another in a sentence ("early on and" is one)."""
     return (
@@ -275,7 +288,7 @@ def _odd_pair(a: str, b: str) -> bool:
 
 
 def _squeezed(text: str) -> float:
-    """Size after compression, as a share: in pieces, so that long texts aren't taken for repeated ones."""
+    """Size after compression, as a share: in pieces, so that long texts aren't taken for repeated ones; a guard for short passages only."""
     data = text.encode()
     size = sum(len(zlib.compress(data[a : a + 4096], 6)) for a in range(0, len(data), 4096))
     return size / max(1, len(data))
