@@ -82,3 +82,25 @@ def test_long_passages_repeated(sentences, end):
     assert measure(text, COMMON)["kind"] == "prose"
     assert measure(text * 8, COMMON)["kind"] == "junk"
     assert measure(text * 2, COMMON)["kind"] == "prose"
+
+
+def test_outlines_told_by_indentation_alone():
+    items = _passage(12, "\n").splitlines()
+    for end in (".", ""):
+        outline = "\n".join(("    " if i % 3 else "") + x.capitalize() + " and went on with the other guests of the day" + end for i, x in enumerate(items))
+        assert min(map(len, outline.splitlines())) > 64
+        assert measure(outline, COMMON)["kind"] == "list"
+        assert measure(outline.replace("    ", ""), COMMON)["kind"] == "prose"
+    # The same words as paragraphs with indented first lines, wrapped.
+    words = (PROSE + " " + _passage(30)).split()
+    wrapped = "\n".join(("    " if i % 4 == 0 else "") + " ".join(words[16 * i : 16 * i + 16]) for i in range(len(words) // 16))
+    assert measure(wrapped, COMMON)["kind"] == "prose"
+
+
+def test_two_columns_told_by_their_place():
+    items = _passage(8, "\n").splitlines()
+    table = "\n".join(f"{x.split()[1] + ' guests':<24}{x}." for x in items)
+    assert measure(table, COMMON)["kind"] == "table"
+    assert measure("\n".join(f"{x.split()[1]:<{8 + 3 * i}}{x}." for i, x in enumerate(items)), COMMON)["kind"] == "prose"
+    bars = "\n".join(f"{x.split()[1] + ' guests':<24}| {x}." for x in items)
+    assert measure(bars, COMMON)["kind"] == "table"

@@ -36,6 +36,8 @@ class ProseParams:
     repeat_chars: float = 0.3  # of characters in distinct sentences, or of distinct word runs, below which a text is merely repeated
     repeat_run: int = 8  # words
     short_line: int = 64
+    outline_line: int = 200  # length up to which an indented line can be an item
+    outline_lines: int = 6  # lines that an outline has at least
 
 
 #: English words after which, or before which, some others never stand in a sentence.
@@ -96,6 +98,23 @@ def _cells(line: str) -> tuple[str, int]:
     return best
 
 
+def _columns(line: str) -> frozenset[int]:
+    """Where the cells of a line begin that follow wide gaps, and where its bars stand."""
+    if "  " not in line and "\t" not in line and "|" not in line:
+        return frozenset()
+    wide = line.rstrip().expandtabs()
+    return frozenset(m.end() for m in GAPS.finditer(wide)) | frozenset(i for i, c in enumerate(wide) if c == "|")
+
+
+def _aligned(columns: list[frozenset[int]]) -> list[bool]:
+    """Lines that have a delimiter in the same column as two neighbouring lines."""
+    out = [False] * len(columns)
+    for i in range(len(columns) - 2):
+        if columns[i] and columns[i] & columns[i + 1] & columns[i + 2]:
+            out[i] = out[i + 1] = out[i + 2] = True
+    return out
+
+
 def _period(x: np.ndarray) -> float:
     """The largest autocorrelation of a sequence at lags 1 to 4; 1 for a constant one."""
     if len(x) < 4:
@@ -112,6 +131,7 @@ def _line_kinds(lines: list[str], common: dict[str, frozenset[str]]) -> list[str
     n = len(lines)
     kinds = ["prose"] * n
     cells = [_cells(x) for x in lines]
+    aligned = _aligned([_columns(x) for x in lines])
     for i, x in enumerate(lines):
         d, k = cells[i]
         bare = x.strip()
@@ -128,6 +148,8 @@ def _line_kinds(lines: list[str], common: dict[str, frozenset[str]]) -> list[str
             kinds[i] = "table"
         elif d == "," and k >= 1 and (d, k) in beside and len(tokens) <= 2 * (k + 1):
             kinds[i] = "table"
+        elif aligned[i]:
+            kinds[i] = "table"
         elif len(tokens) >= 2 and numeric >= 0.6 * len(tokens):
             kinds[i] = "table"
         elif "=" in bare and len(PAIRED.findall(bare)) >= 2:
@@ -156,6 +178,25 @@ def _short_lines(lines: list[str], kinds: list[str], p: ProseParams) -> None:
         i = max(j, i + 1)
 
 
+def _outlines(lines: list[str], kinds: list[str], p: ProseParams) -> None:
+    """Marks stretches of lines as lists whose indentation repeats with a period, if each line starts anew: wrapped prose goes on from line to line."""
+    n, i = len(lines), 0
+    while i < n:
+        j = i
+        while j < n and kinds[j] == "prose" and len(lines[j].strip()) <= p.outline_line:
+            j += 1
+        if j - i >= p.outline_lines:
+            part = [x.expandtabs() for x in lines[i:j]]
+            indent = np.array([len(x) - len(x.lstrip()) for x in part], float)
+            anew = sum(not x.lstrip()[0].islower() for x in part)
+            # Items end with a mark all of them or none; lines of wrapped prose are mixed.
+            ends = sum(x.rstrip()[-1] in ENDINGS for x in part)
+            shares = np.unique(indent, return_counts=True)[1] / len(part)
+            if len(shares) > 1 and shares.max() <= 0.8 and anew >= 0.9 * len(part) and not 0.1 * len(part) < ends < 0.9 * len(part) and _period(indent) > 0.3:
+                kinds[i:j] = ["list"] * (j - i)
+        i = max(j, i + 1)
+
+
 def measure(text: str | None, common: dict[str, frozenset[str]], p: ProseParams = ProseParams()) -> dict:
     """Statistics of one text, ``kind`` (blank, prose, list, table or junk) and ``natural`` (prose, or blank: None)."""
     text = text or ""
@@ -188,6 +229,9 @@ def measure(text: str | None, common: dict[str, frozenset[str]], p: ProseParams
         out["indent_period"] = _period(np.array([len(x) - len(x.lstrip()) for x in lines], float)) if any(x[:1].isspace() for x in lines) else 0.0
     kinds = _line_kinds(lines, common)
     _short_lines(lines, kinds, p)
+    # Periodic indentation of the whole text need not show where a part of it is an outline, so it is measured by stretch.
+    if any(x[:1].isspace() for x in lines):
+        _outlines(lines, kinds, p)
     weight = Counter()
     for x, k in zip(lines, kinds):
         weight[k] += len(x.strip())
