@@ -104,3 +104,8 @@ def test_two_columns_told_by_their_place():
     assert measure("\n".join(f"{x.split()[1]:<{8 + 3 * i}}{x}." for i, x in enumerate(items)), COMMON)["kind"] == "prose"
     bars = "\n".join(f"{x.split()[1] + ' guests':<24}| {x}." for x in items)
     assert measure(bars, COMMON)["kind"] == "table"
+
+
+@pytest.mark.parametrize("row", ["12 34 56", "１２ ３４ ５６", "١٢ ٣٤ ٥٦", "%12 %34 %56", "/1 /2 /3"])
+def test_numbers_of_any_digits_make_a_table(row):
+    assert measure("\n".join([row] * 2 + [row.replace(" ", " 7")]), COMMON)["kind"] == "table"

@@ -136,7 +136,7 @@ def _line_kinds(lines: list[str], common: dict[str, frozenset[str]]) -> list[str
         d, k = cells[i]
         bare = x.strip()
         tokens = bare.split()
-        numeric = sum(t[0] in "+-.,:0123456789" and bool(NUMBER.fullmatch(t)) for t in tokens) if DIGIT.search(bare) else 0
+        numeric = sum((t[0] in "+-.,:%/" or t[0].isdecimal()) and bool(NUMBER.fullmatch(t)) for t in tokens) if DIGIT.search(bare) else 0
         beside = [cells[j] for j in (i - 1, i + 1) if 0 <= j < n]
         if RULE.match(bare):
             kinds[i] = "table"
