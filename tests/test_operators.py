@@ -174,3 +174,17 @@ def test_sorting(spark):
     assert [(w, i) for _, w, i in got] == [("", 4), ("B", 3), ("a", 1), ("a", 6), ("ab", 2), ("b", 0), (None, 5)]
     assert [p for p, _, _ in got] == list(range(1, 8))
     assert sorted(values(sorting.count_sort_starts(df, "w", 0), "code", "n", "start")) == [(-1, 1, 0), (66, 1, 1), (97, 3, 2), (98, 1, 5)]
+
+
+def test_whole_sweep(spark, data):
+    from tidemark.plans import registry
+
+    rows = {(r.b, r.k): r for r in registry.queries()["bloom_sweep_whole"](spark, data).collect()}
+    assert set(rows) == {(b, k) for b in range(12, 21) for k in range(1, 21)}
+    names = spark.read.parquet(f"{data}/fake_usernames_gen.parquet")
+    probes = bloom.others(names, "fake_username", names, "real_username")
+    for b, k in [(12, 20), (13, 9)]:
+        found = bloom.probe(bloom.build(names, "real_username", b, k), probes, "fake_username", b, k)
+        assert (rows[b, k].positives, rows[b, k].probes) == (found.count(), probes.count())
+    rates = registry.queries()["bloom_sweep_rates_whole"](spark, data)
+    assert rates.count() == 180

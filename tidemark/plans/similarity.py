@@ -42,14 +42,14 @@ def _links(spark, d):
     return S.link_counts(S.lsh_pairs(sig), S.membership(sig, "signature"))
 
 
-def _sweep(spark, d):
+def _sweep(spark, d, most=8):
     n = _names(spark, d)
-    return B.sweep(n, "real_username", B.others(n, "fake_username", n, "real_username"), "fake_username", range(12, 21), 8)
+    return B.sweep(n, "real_username", B.others(n, "fake_username", n, "real_username"), "fake_username", range(12, 21), most)
 
 
-def _sweep_rates(spark, d):
+def _sweep_rates(spark, d, most=8):
     n = _names(spark, d).agg(F.count_distinct("real_username").alias("n"))
-    s = _sweep(spark, d).withColumn("rate", F.try_divide(F.col("positives"), F.col("probes")))
+    s = _sweep(spark, d, most).withColumn("rate", F.try_divide(F.col("positives"), F.col("probes")))
     return s.join(F.broadcast(n)).select("b", "k", F.round("rate", 6).alias("rate"), F.round(B.theoretical_rate(F.pow(F.lit(2.0), F.col("b")), F.col("k"), F.col("n")), 6).alias("expected"))
 
 
@@ -97,6 +97,8 @@ QUERIES = {
     "bloom_false_positive_count": lambda s, d: _positives(s, d).agg(F.count(F.lit(1)).alias("n")),
     "bloom_sweep": _sweep,
     "bloom_sweep_rates": _sweep_rates,
+    "bloom_sweep_whole": lambda s, d: _sweep(s, d, 20),
+    "bloom_sweep_rates_whole": lambda s, d: _sweep_rates(s, d, 20),
     "bloom_theory": lambda s, d: s.range(12, 21).join(s.range(1, 21).withColumnRenamed("id", "k")).select(
         F.col("id").alias("b"), "k", F.round(B.theoretical_rate(F.pow(F.lit(2.0), F.col("id")), F.col("k"), F.lit(9999)), 8).alias("rate")
     ),
@@ -180,13 +182,19 @@ def _bits(source: str, log_bits: str, k: int) -> str:
 _POSITIVE = f"""WITH bits AS (SELECT DISTINCT bit FROM ({_bits(_REAL, str(LOG_BITS), HASHES)})),
     pr AS ({_bits(f'{_FAKE} EXCEPT ({_REAL})', str(LOG_BITS), HASHES)}), pos AS (SELECT name FROM pr JOIN bits USING (bit) GROUP BY 1 HAVING count(*) = {HASHES})"""
 _MOST = 8
-_SWEEP = f"""WITH mh AS ({' UNION ALL '.join(f"SELECT name, {i} AS i, {_murmur('name', str(i * i))} AS h FROM ({_REAL})" for i in range(_MOST))}),
-    ph AS ({' UNION ALL '.join(f"SELECT name, {i} AS i, {_murmur('name', str(i * i))} AS h FROM ({_FAKE} EXCEPT ({_REAL}))" for i in range(_MOST))}),
+
+
+def _swept(most: int) -> str:
+    return f"""WITH mh AS ({' UNION ALL '.join(f"SELECT name, {i} AS i, {_murmur('name', str(i * i))} AS h FROM ({_REAL})" for i in range(most))}),
+    ph AS ({' UNION ALL '.join(f"SELECT name, {i} AS i, {_murmur('name', str(i * i))} AS h FROM ({_FAKE} EXCEPT ({_REAL}))" for i in range(most))}),
     sizes AS (SELECT CAST(unnest(range(12, 21)) AS INTEGER) AS b),
-    ks AS (SELECT CAST(unnest(range(1, {_MOST + 1})) AS INTEGER) AS k),
+    ks AS (SELECT CAST(unnest(range(1, {most + 1})) AS INTEGER) AS k),
     bits AS (SELECT DISTINCT b, k, h & ((1 << b) - 1) AS bit FROM mh, sizes, ks WHERE i < k),
     hit AS (SELECT p.name, p.b, p.k, count(bits.bit) AS n FROM (SELECT name, b, k, h & ((1 << b) - 1) AS bit FROM ph, sizes, ks WHERE i < k) p LEFT JOIN bits USING (b, k, bit) GROUP BY 1, 2, 3),
     sw AS (SELECT b, k, count(*) AS probes, count_if(n = k) AS positives FROM hit GROUP BY 1, 2)"""
+
+
+_SWEEP, _SWEEP_WHOLE = _swept(_MOST), _swept(20)
 _CELLS = "WITH c AS (SELECT matrix_name, row_no AS i, generate_subscripts(vec_, 1) - 1 AS j, unnest(vec_) AS v FROM matrix WHERE len(vec_) > 0), hh AS (SELECT matrix_name, max(row_no) + 1 AS h, max(len(vec_)) AS w FROM matrix WHERE len(vec_) > 0 GROUP BY 1)"
 _AT0 = "CASE WHEN length({v}) > {p} THEN ascii(substring({v}, {p} + 1, 1)) ELSE -1 END"
 
@@ -215,6 +223,9 @@ ORACLES = {
     "bloom_sweep": f"{_SWEEP} SELECT b, k, probes, positives FROM sw",
     "bloom_sweep_rates": f"""{_SWEEP}, m AS (SELECT count(DISTINCT real_username) AS n FROM fake_usernames_gen)
     SELECT b, k, round(positives / probes, 6) AS rate, round(pow(1 - pow(1 - 1 / pow(2.0, b), k * n), k), 6) AS expected FROM sw, m""",
+    "bloom_sweep_whole": f"{_SWEEP_WHOLE} SELECT b, k, probes, positives FROM sw",
+    "bloom_sweep_rates_whole": f"""{_SWEEP_WHOLE}, m AS (SELECT count(DISTINCT real_username) AS n FROM fake_usernames_gen)
+    SELECT b, k, round(positives / probes, 6) AS rate, round(pow(1 - pow(1 - 1 / pow(2.0, b), k * n), k), 6) AS expected FROM sw, m""",
     "bloom_theory": """SELECT b, k, round(pow(1 - pow(1 - 1 / pow(2.0, b), k * 9999), k), 8) AS rate
     FROM (SELECT unnest(range(12, 21)) AS b) CROSS JOIN (SELECT unnest(range(1, 21)) AS k)""",
     "rotate90": f"{_CELLS} SELECT matrix_name, j AS i, h - 1 - i AS j, round(v, 5) AS v FROM c JOIN hh USING (matrix_name)",
