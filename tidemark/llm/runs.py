@@ -4,7 +4,9 @@ Events are sorted by entity and order over the whole table and cut into ranges,
 so that an entity of any size is read by many tasks.  A state machine goes over
 each range and compares every event with the run's anchor, the event before it;
 it emits finished runs, and the run at either edge of the range as an open one.
-Open runs (two at most per range) are stitched by the same machine.
+Open runs (two at most per range) are stitched by the same machine.  Ranges are
+cut once and leave all their runs in one pass, so no run is lost or doubled
+however often a task is repeated.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +94,8 @@ def collapse_runs(
         micros(df, time).alias("_t"),
         col(ident).cast("bigint").alias("_id"),
     ).filter("_t is not null and _id is not null")
-    order = [*names, "_t", "_id"]
+    # The value too, so that what a task reads is in one order however often it is read.
+    order = [*names, "_t", "_id", "_v"]
     src = src.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
     pieces = ["_v0", "_v1", "_t0", "_t1", "_i0", "_i1", "_n", "_p0", "_p1"]
     kinds = [f"{x} {src.schema[x].dataType.simpleString()}" for x in names]
@@ -122,15 +126,19 @@ def collapse_runs(
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = RunMachine(n, limit, gap, stitching=True)
         for b in batches:
-            yield from marked(machine.push(pa.Table.from_batches([b]).drop_columns(["_open"])), False)
+            is_open = b.column(b.num_columns - 1)
+            yield b.filter(pc.invert(is_open))
+            yield from marked(machine.push(pa.Table.from_batches([b.filter(is_open)]).drop_columns(["_open"])), False)
         if (last := machine.finish()) is not None:
             yield from marked(last, False)
 
-    found = src.mapInArrow(ranges, schema)
-    # Two open runs per range at most: their number is bounded by that of the partitions, whatever the size of the table.
-    edges = found.filter("_open").repartition(1).sortWithinPartitions(*names, "_t0", "_i0").mapInArrow(stitch, schema)
+    # Finished and open runs leave the ranges together, in one shuffle: were they read apart, each reading could cut ranges of
+    # its own.  Open ones meet in one task; two per range at most, their number is bounded by that of the ranges.
+    found = src.mapInArrow(ranges, schema).withColumn("_to", F.when(~F.col("_open"), F.xxhash64("_i0")))
+    found = found.repartition(shuffle_width(df.sparkSession), "_to").drop("_to").sortWithinPartitions("_open", *names, "_t0", "_i0", "_p0", "_v0")
+    found = found.mapInArrow(stitch, schema)
     back = lambda v: F.when(F.col(v) != F.lit(int(GONE) + 1) - 1, F.round(F.col(v) * resolution, 9))
-    return found.filter("not _open").unionByName(edges).select(
+    return found.select(
         *[F.col(x).alias(k) for x, k in zip(names, keys)],
         F.col("_i0").alias("first_id"),
         F.col("_i1").alias("last_id"),
