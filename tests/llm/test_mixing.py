@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.mixing import MixParams, fit_budget, mix_report, mix_sources
+from tidemark.llm.mixing import MixParams, fit_budget, mix_checks, mix_report, mix_sources
 
 
 def best(lengths, counts, budget):
@@ -30,6 +30,35 @@ def test_fit_is_within_counts_and_optimal_in_the_window(window):
             assert total == best(lengths.tolist(), counts.tolist(), min(budget, have))
 
 
+@pytest.mark.parametrize("each", [1, 3])
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.83])
+def test_every_part_of_the_lengths_has_its_share(each, share):
+    lengths, counts = np.arange(1, 3001), np.full(3000, each)
+    budget = int(share * (lengths * counts).sum())
+    for seed in range(5):
+        take = fit_budget(lengths, counts, budget, 50_000, seed)
+        assert (take * lengths).sum() == budget and (take <= counts).all() and (take >= 0).all()
+        for third in np.split(take, 3):
+            assert abs(third.sum() / (1000 * each) / share - 1) < 0.02
+
+
+def test_lengths_beyond_the_window():
+    rng = np.random.default_rng(1)
+    lengths = np.r_[rng.choice(np.arange(1, 400), 300, replace=False), 90_000, 250_000, 700_000]
+    counts = np.r_[rng.integers(1, 90, 300), 2, 3, 1]
+    have = int((lengths * counts).sum())
+    for budget in [0, 1, 39, 40_000, 89_999, 250_001, have // 3, have // 2, have - 1, have, have + 1]:
+        for seed in range(3):
+            take = fit_budget(lengths, counts, budget, 50_000, seed)
+            assert (take <= counts).all() and (take >= 0).all()
+            assert min(budget, have) - 40 <= (take * lengths).sum() <= budget, (budget, seed)
+
+
+def test_even_lengths_come_as_near_as_they_can():
+    take = fit_budget(np.arange(2, 2000, 2), np.full(999, 4), 800_001, 50_000)
+    assert (take * np.arange(2, 2000, 2)).sum() == 800_000
+
+
 def sizes(spark, n=900):
     rng = random.Random(2)
     rows = [(i, "big" if i % 3 else rng.choice(["mid", "small", None]), rng.choice([0, 7, 7, 7, rng.randrange(1, 400)])) for i in range(n)]
@@ -57,6 +86,8 @@ def test_mix(spark, bucket_rows):
         if mix == "a":
             assert abs(r.actual_share - r.target_share) < 0.002
     assert report["b", "nowhere"].tokens == 0 and report["b", "big"].actual_share == 1.0
+    checks = {(r.mix_id, r.source): (r.available, r.capped, r.met) for r in mix_checks(mix_sources(df, t, p), df, t).collect()}
+    assert checks == {k: (k[1] != "nowhere", True, True) for k in report}
     again = {(r.mix_id, r.doc_id, r.times) for r in mix_sources(df.repartition(7), t, p).collect()}
     assert again == {(r.mix_id, r.doc_id, r.times) for r in chosen}
 

@@ -1,13 +1,14 @@
 """Sources mixed to target weights by fitting token budgets.
 
 Documents are counted by source and exact token length.  From the counts alone
-each source's budget is met: whole rounds of the source first, then a share of
-every length, and the rest by a bounded-knapsack over what is left.  Which
-documents of a length are taken is a matter of a seeded hash.
+each source's budget is met: whole rounds of the source first, then the same
+share of every length, and the rest by a bounded knapsack over what is left.
+Which documents of a length are taken is a matter of a seeded hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from ..common import cut
 
 @dataclass(frozen=True)
 class MixParams:
-    """``total`` tokens of a mix (None: as many as the scarcest source allows); ``window``: tokens left to the knapsack."""
+    """``total`` tokens of a mix (None: as many as the scarcest source allows); ``window``: tokens at most that are left to the knapsack."""
 
     total: int | None = None
     window: int = 50_000
@@ -28,37 +29,71 @@ class MixParams:
     bucket_rows: int = 50_000
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int, seed: int = 0) -> np.ndarray:
     """How many documents of each length to take so that they add up to ``budget``, or as near below it as can be.
 
-    ``lengths`` are positive and different.  A share of every length first, so that the selection looks like the source.
+    ``lengths`` are positive and different.  Of every length the same share is taken, rounded along the lengths in order
+    from a seeded start, so that any part of the lengths has its share of the selection to one document.  What the
+    rounding leaves, some documents' worth, is a bounded knapsack over what wasn't taken, longer and shorter lengths by
+    turns of a seeded lot; a source within the ``window`` is a knapsack as a whole if that comes nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     have = int((lengths * counts).sum())
     if budget >= have:
         return counts.copy()
-    share = max(0.0, budget - window) / have
-    take = np.floor(counts * share).astype(np.int64)
+    rng = np.random.default_rng(seed)
+    longest = int(lengths[counts > 0].max())
+    take = _spread_share(lengths, counts, max(0.0, budget - min(window, 4 * longest)) / have, float(rng.random()))
     left = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if left <= window:
+    while left < 0:  # by less than the longest document
+        there = np.flatnonzero(take > 0)
+        enough = there[lengths[there] >= -left]
+        i = enough[lengths[enough].argmin()] if len(enough) else there[lengths[there].argmax()]
+        take[i] -= 1
+        left += int(lengths[i])
+    while left > window:
+        fits = np.flatnonzero((take < counts) & (lengths <= left))
+        if not len(fits):
             break
-        more = min(int(counts[i] - take[i]), (left - window) // int(lengths[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
+        more = (counts - take)[fits]
+        i = fits[rng.choice(len(fits), p=more / more.sum())]
+        take[i] += 1
+        left -= int(lengths[i])
+    more = _knapsack(lengths, counts - take, left, rng)
+    missing = left - int((more * lengths).sum())
+    if missing and have <= window:
+        whole = _knapsack(lengths, counts, budget, rng)
+        if budget - int((whole * lengths).sum()) < missing:
+            return whole
+    return take + more
+
+
+def _spread_share(lengths: np.ndarray, counts: np.ndarray, share: float, start: float) -> np.ndarray:
+    """The same share of every length in whole documents: what one length rounds off, the next ones in order make up for."""
+    order = np.argsort(lengths, kind="stable")
+    upto = np.floor(np.cumsum(counts[order]) * share + start)
+    take = np.zeros_like(counts)
+    take[order] = np.diff(np.r_[np.floor(start), upto]).astype(np.int64)
+    return np.minimum(take, counts)
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Generator) -> np.ndarray:
+    """The bounded knapsack: counts of each length, no more than there are, with the largest sum up to ``budget``."""
+    take = np.zeros_like(counts)
+    # Lengths by lot, those of many documents sooner.
+    lot = np.where(counts > 0, rng.exponential(size=len(counts)) / np.maximum(counts, 1), np.inf)
     # Reachable sums as the bits of a number; every piece of a length's count doubles the one before.
-    mask = (1 << (left + 1)) - 1
+    mask = (1 << (budget + 1)) - 1
     bits, steps = 1, []
-    for i in order:
-        n, length, piece = min(int(counts[i] - take[i]), left // int(lengths[i])), int(lengths[i]), 1
-        while n > 0 and not bits >> left & 1:
+    for i in np.argsort(lot, kind="stable"):
+        n, length, piece = min(int(counts[i]), budget // int(lengths[i])), int(lengths[i]), 1
+        while n > 0 and not bits >> budget & 1:
             piece = min(piece, n)
             steps.append((bits, i, piece))
             bits |= bits << (piece * length) & mask
             n -= piece
             piece *= 2
-        if bits >> left & 1:
+        if bits >> budget & 1:
             break
     at = bits.bit_length() - 1
     for before, i, piece in reversed(steps):
@@ -88,8 +123,9 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame, p: MixParams = MixParams())
         lengths, docs = lengths[order], docs[order]
         have, budget = int((lengths * docs).sum()), int(pdf["budget"].iloc[0])
         rounds = budget // have
-        extra = fit_budget(lengths, docs, budget - rounds * have, p.window)
-        return pd.DataFrame({"mix_id": pdf["mix_id"].iloc[0], "source": pdf["source"].iloc[0], "n_tokens": lengths, "rounds": rounds, "extra": extra})
+        mix, source = pdf["mix_id"].iloc[0], pdf["source"].iloc[0]
+        extra = fit_budget(lengths, docs, budget - rounds * have, p.window, p.seed + zlib.crc32(f"{mix}\0{source}".encode()))
+        return pd.DataFrame({"mix_id": mix, "source": source, "n_tokens": lengths, "rounds": rounds, "extra": extra})
 
     return (
         wanted.select("mix_id", "source", "budget").join(hist, "source").groupBy("mix_id", "source").applyInPandas(fit, "mix_id string, source string, n_tokens bigint, rounds bigint, extra bigint")
@@ -156,3 +192,19 @@ def mix_report(selection: DataFrame, sizes: DataFrame, targets: DataFrame) -> Da
     )
 
 
+def mix_checks(selection: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of each mix and source, what must hold: ``capped`` (no document more often than allowed) and ``met`` (no document left
+    over fits what is missing to the budget that the scarcest source leaves it, nor is the budget exceeded); and ``available``,
+    whether the source has tokens at all."""
+    report = mix_report(selection, sizes, targets)
+    some = F.col("available_tokens") > 0
+    room = F.when(some & (F.col("max_repeats") > 0), F.col("max_repeats") * F.col("available_tokens") / F.col("target_share"))
+    total = F.coalesce(F.floor(F.min(room).over(Window.partitionBy("mix_id"))), F.lit(0))
+    budget = F.least(F.round(total * F.col("target_share")).cast("bigint"), F.col("max_repeats") * F.col("available_tokens"))
+    report = report.withColumns({"short": budget - F.col("tokens"), "times": F.coalesce(F.floor(F.try_divide("tokens", "available_tokens")), F.lit(0)) + 1})
+    lengths = sizes.filter("source is not null and n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    used = selection.groupBy("mix_id", "source", "n_tokens").agg(F.sum("times").alias("used"))
+    free = report.select("mix_id", "source", "times").join(lengths, "source").join(used, ["mix_id", "source", "n_tokens"], "left")
+    free = free.filter(F.coalesce("used", F.lit(0)) < F.col("docs") * F.col("times")).groupBy("mix_id", "source").agg(F.min("n_tokens").alias("shortest"))
+    met = (F.col("short") >= 0) & (F.col("short") < F.coalesce("shortest", F.col("short") + 1))
+    return report.join(free, ["mix_id", "source"], "left").select("mix_id", "source", some.alias("available"), (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), met.alias("met"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..common import cut, load
 from .knn import nearest_vectors, similar_pairs
 from .membership import seen_before
-from .mixing import mix_report, mix_sources
+from .mixing import mix_checks, mix_report, mix_sources
 from .nearest_time import nearest_in_time
 from .runs import collapse_runs
 from .textstats import text_statistics
@@ -97,6 +97,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix_sources(sizes, targets), sizes, targets)
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the actual shares of each mix."""
+    sizes, targets = _sizes(spark, d), load(spark, d, "mix_targets")
+    return mix_checks(cut(mix_sources(sizes, targets)), sizes, targets)
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics and kind of every document."""
     return text_statistics(load(spark, d, "documents"), load(spark, d, "common_words"))
@@ -120,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "p8_round_trip": p8_round_trip,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
 }
@@ -147,6 +154,10 @@ _RUNS = """
 
 ORACLES: dict[str, str] = {
     "p8_round_trip": "SELECT true AS same, count(*) AS documents FROM documents",
+    "p9_checks": """
+    SELECT DISTINCT t.mix_id, t.source, d.source IS NOT NULL AS available, true AS capped, true AS met
+    FROM mix_targets t LEFT JOIN (SELECT DISTINCT source FROM documents WHERE length(text) > 0) d ON t.source = d.source
+    WHERE t.mix_id IS NOT NULL AND t.source IS NOT NULL AND t.target_share > 0""",
     "p2_found": """
     WITH u AS (
         SELECT vec_id, CAST(vec_ AS DOUBLE[]) AS v FROM matrix
