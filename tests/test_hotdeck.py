@@ -2,6 +2,8 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from tidemark.operators.hotdeck import filled_cells, hot_deck_fill
 
 T0 = datetime(2030, 1, 1)
@@ -42,6 +44,25 @@ def test_against_brute_force_over_many_stretches(spark):
             assert got[i][0] in {x for d, x in donors[g] if abs((t - d).total_seconds()) == best}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_the_donor_does_not_depend_on_the_stretches(spark, kind):
+    # Donors of one instant at the edge of a stretch; 2**62 and beyond, negative and null ties.
+    ties = [5, -3, 2**62, -(2**62), None, 17] if kind == "bigint" else ["b", "a", "ö", "", None, "c"]
+    rows = [(None, x, 1, T0 + timedelta(seconds=s), float(10 * s + i)) for s in (0, 2999, 7000) for i, x in enumerate(ties)]
+    rows += [(i, ties[0], 1, T0 + timedelta(seconds=s), None) for i, s in enumerate((1, 1499, 1500, 3000, 3001, 4999, 5001, 6999, 9000))]
+    df = spark.createDataFrame(rows, f"row int, id {kind}, g int, t timestamp_ntz, v double").repartition(3)
+    donors = sorted((r for r in rows if r[4] is not None), key=lambda r: (r[3], r[1] is not None, (r[1].encode() if kind == "string" else r[1]) if r[1] is not None else 0))
+    want = {}
+    for r in rows:
+        if r[4] is None:
+            before, after = [d for d in donors if d[3] < r[3]][-1:], [d for d in donors if d[3] > r[3]][:1]
+            gap = lambda d, r=r: abs((d[3] - r[3]).total_seconds())
+            want[r[0]] = (after if not before or (after and gap(after[0]) < gap(before[0])) else before)[0][4]
+    for stretch in (1.0, 600.0, 1000.0, 2148.0, 1e6, 3e9):
+        got = hot_deck_fill(df, ["v"], ["g"], "t", "id", stretch_seconds=stretch).filter("v_filled").collect()
+        assert {r.row: r.v_value for r in got} == want, stretch
+
+
 def test_cells(spark):
     rows = [(1, 1, T0, 5.0, ""), (2, 1, T0, None, "")]
     assert [tuple(r) for r in filled_cells(run(spark, rows), ["v"], "id").collect()] == [(2, "v")]

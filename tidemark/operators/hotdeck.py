@@ -9,9 +9,11 @@ stretch hands to its neighbours is one donor per side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..common import col, free_names, micros, missing
 
@@ -27,9 +29,9 @@ def hot_deck_fill(
     """All rows and columns of ``df`` and, for each field, ``<f>_value`` (observed or filled), ``<f>_filled``
     (true where it was filled) and ``<f>_donor_gap`` (seconds to the donor, null where nothing was filled).
 
-    The donor is the observed record of equal ``group`` values that is nearest in ``time``; of a previous and a next
-    one equally near, the previous one in order of ``time`` and ``tie`` (of several donors of one instant that a stretch
-    of time hands to the next, one is taken by a hash of ``tie``).  Values count as missing if null or NaN.
+    The donor is the previous or next observed record of equal ``group`` values in order of ``time`` and ``tie``, whichever
+    is nearer in time; of both equally near, the previous one.  The result is the same for every ``stretch_seconds``.
+    Values count as missing if null or NaN.
     Rows with a null in a group column belong to no group: they give and take nothing.  Rows without time sort first
     and take the previous donor, else the next, with a null gap.  Groups without any observed value stay missing.
     Repeated rows are filled alike.  New columns whose names are taken get a number behind the name.
@@ -60,7 +62,7 @@ def hot_deck_fill(
     # The first and last donor of each stretch, brought to the stretches around it.
     lean = with_donors(df.select(*dict.fromkeys([*group, *fields, time, tie]))).filter(F.col(grouped))
     n, keyed = len(fields), [F.col(f"_g{i}") for i in range(len(group))]
-    place = F.coalesce(F.col(at) - F.col(part) * F.lit(int(stretch_seconds * 1e6)), F.lit(0)) * F.lit(1 << 32) + F.pmod(F.xxhash64(col(tie)), F.lit(1 << 32))
+    place = _place(F.coalesce(F.col(at) - F.col(part) * F.lit(int(stretch_seconds * 1e6)), F.lit(0)), col(tie), df.schema[tie].dataType)
     lean = lean.select(
         *[col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col(part).alias("_p"),
@@ -102,6 +104,16 @@ def hot_deck_fill(
     return rows.select(*[col(c) for c in df.columns], *[v.alias(n) for n, v in out.items()])
 
 
+def _place(offset: Column, tie: Column, kind: T.DataType) -> Column:
+    """Order by ``offset`` (microseconds into a stretch) and ``tie``, nulls first: one decimal for integers, so that aggregates
+    by it stay hash aggregates, and a struct for other types."""
+    if not isinstance(kind, T.IntegralType):
+        return F.struct(offset.alias("t"), tie.alias("tie"))
+    wide = lambda v: v.cast("decimal(20,0)")
+    low = F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)")
+    return (wide(offset) * F.lit(Decimal(1 << 65)).cast("decimal(20,0)")).cast("decimal(38,0)") + (F.coalesce(wide(tie), low) - low)
+
+
 def filled_cells(filled: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
     """One row (``key``, field) for each value that ``hot_deck_fill`` filled."""
     return filled.select(
