@@ -63,3 +63,10 @@ def test_empty_and_clashing_names(spark):
     row = out.first()
     assert (row.period, row.period_1, row.reject_reason, row.reject_reason_1) == ("mine", 1, "too", None)
     assert parse_lines(df.limit(0)).count() == 0
+
+
+def test_control_characters_and_line_ends_are_kept(spark):
+    odd = ["ab\x1ecd", "a\x1fb\nc", "x\r\ny\x1e", "".join(map(chr, [*range(1, 34), *range(35, 44)])), "\ue000\n\ue001", "\x01\x02", "\u2028 \x85"]
+    rows = [(i, f'9400000,4,2,1,11:22,"{t}",,7000239,51008') for i, t in enumerate(odd)]
+    got = {r.line_id: (r.homedescription, r.reject_reason) for r in parse_lines(spark.createDataFrame(rows, "line_id bigint, line string").coalesce(1)).collect()}
+    assert got == {i: (t, None) for i, t in enumerate(odd)}

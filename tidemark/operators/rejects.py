@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -38,10 +39,6 @@ JUDGED = {
 }
 WHOLE = r"^0*([0-9]{1,9})(?:\.0)?$"
 QUOTING = r'\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z'
-#: Line ends inside a line would end the row for the CSV reader; they stand as these until the fields are split.
-LINE_ENDS = {"\n": "\x1e", "\r": "\x1f"}
-
-
 @dataclass(frozen=True)
 class LineFormat:
     """Fields in order with their Spark types (int or string), and the patterns of those that are judged."""
@@ -51,70 +48,68 @@ class LineFormat:
     batch_bytes: int = 32 << 20
 
 
-def _parse(lines: pa.Array, fmt: LineFormat) -> tuple[dict[str, pa.Array], list[str | None]]:
+def _stand_ins(lines: pa.Array) -> dict[str, str]:
+    """For each line end that is inside a line, and would end the row for the CSV reader, a character that no line holds."""
+    held = lambda c: pc.any(pc.match_substring(lines, c)).as_py()
+    free = (c for c in map(chr, [*range(1, 0x20), *range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE)]) if c not in "\t\n\r" and not held(c))
+    return {end: next(free) for end in "\n\r" if held(end)}
+
+
+def _parse(lines: pa.Array, fmt: LineFormat) -> tuple[dict[str, pa.Array], pa.Array]:
     """Field vectors (null where the line failed) and the reason of each line."""
     n = len(lines)
     names = [f for f, _ in fmt.fields]
-    reason: list[str | None] = [None] * n
-    is_null = pc.is_null(lines).to_pylist()
-    quoted = pc.fill_null(pc.match_substring_regex(lines, QUOTING), False).to_pylist()
-    for i in range(n):
-        if is_null[i]:
-            reason[i] = "null line"
-        elif not quoted[i]:
-            reason[i] = "quoting"
-    flat = lines
-    for end, stand in LINE_ENDS.items():
-        flat = pc.replace_substring(flat, end, stand)
-    text = flat.to_pylist()
-    rows = [f"{i},{text[i]}" for i in range(n) if reason[i] is None]
-    good: list[int] = []
-    out: dict[str, pa.Array] = {}
-    table = None
-    if rows:
-        data = "\n".join(rows).encode() + b"\n"
+    reason = np.full(n, None, object)
+    whole = pc.fill_null(pc.match_substring_regex(lines, QUOTING), False)
+    quoted = whole.to_numpy(zero_copy_only=False)
+    reason[~quoted] = "quoting"
+    reason[pc.is_null(lines).to_numpy(zero_copy_only=False)] = "null line"
+    rest, back = lines.filter(whole), {}
+    if len(rest):
+        for end, stand in _stand_ins(rest).items():
+            rest, back[stand] = pc.replace_substring(rest, end, stand), end
+    good = np.zeros(0, np.int64)
+    columns = [pa.array([], pa.string()) for _ in names]
+    if len(rest):
+        rows = pc.binary_join_element_wise(pc.binary_join_element_wise(pa.array(np.flatnonzero(quoted)).cast(pa.string()), rest, ","), "\n", "")
+        data = pa.concat_arrays([rows]).cast(pa.large_binary())
+        size = int(np.frombuffer(data.buffers()[1], np.int64)[len(data)])
 
         def wrong_width(row):
             reason[int(row.text.split(",", 1)[0])] = f"fields: {row.actual_columns - 1}"
             return "skip"
 
         table = pcsv.read_csv(
-            pa.py_buffer(data),
-            read_options=pcsv.ReadOptions(use_threads=False, block_size=len(data) + 1024, column_names=["\0line", *names]),
+            data.buffers()[2].slice(0, size),
+            read_options=pcsv.ReadOptions(use_threads=False, block_size=size + 1024, column_names=["\0line", *names]),
             parse_options=pcsv.ParseOptions(invalid_row_handler=wrong_width),
             convert_options=pcsv.ConvertOptions(
                 column_types={"\0line": pa.int64(), **{f: pa.string() for f in names}}, strings_can_be_null=False, check_utf8=False
             ),
         ).combine_chunks()
-        good = table.column(0).to_pylist()
-    at = pa.array(_places(good, n), pa.int32())
+        if table.num_rows:
+            good = table.column(0).to_numpy()
+            columns = [c.chunk(0) for c in table.columns[1:]]
+    where = np.full(n, -1)
+    where[good] = np.arange(len(good))
+    at = pa.array(where, pa.int32(), mask=where < 0)
     judged = dict(fmt.judged)
-    for k, (f, kind) in enumerate(fmt.fields):
-        v = table.column(k + 1).combine_chunks() if table is not None else pa.array([], pa.string())
-        if isinstance(v, pa.ChunkedArray):
-            v = pa.concat_arrays(v.chunks) if v.num_chunks else pa.array([], pa.string())
-        for end, stand in LINE_ENDS.items():
+    out: dict[str, pa.Array] = {}
+    for (f, kind), v in zip(fmt.fields, columns):
+        for stand, end in back.items():
             v = pc.replace_substring(v, stand, end)
         bare = pc.utf8_trim_whitespace(v)
         if f in judged:
-            ok = pc.match_substring_regex(bare, judged[f]).to_pylist()
-            for i, fine in zip(good, ok):
-                if not fine:
-                    reason[i] = f if reason[i] is None else f"{reason[i]}; {f}"
+            fine = pc.match_substring_regex(bare, judged[f]).to_numpy(zero_copy_only=False)
+            for i in good[~fine]:
+                reason[i] = f if reason[i] is None else f"{reason[i]}; {f}"
         if kind == "int":
             digits = pc.struct_field(pc.extract_regex(bare, WHOLE.replace("(", "(?P<d>", 1)), "d")
             v = digits.cast(pa.int32())
         elif f in judged:
             v = bare
         out[f] = v.take(at)
-    return out, reason
-
-
-def _places(good: list[int], n: int) -> list[int | None]:
-    where: list[int | None] = [None] * n
-    for place, i in enumerate(good):
-        where[i] = place
-    return where
+    return out, pa.array(reason, pa.string())
 
 
 def parse_lines(df: DataFrame, line: str = "line", keep: Iterable[str] = ("line_id",), fmt: LineFormat = LineFormat()) -> DataFrame:
@@ -123,7 +118,8 @@ def parse_lines(df: DataFrame, line: str = "line", keep: Iterable[str] = ("line_
     A rejected line has null fields where it couldn't be split; fields of a line
     that splits are given as far as they cast.  A null line is rejected as
     ``null line``, an empty one for its number of fields.  Blanks and quotes
-    around a judged field don't count.  Repeated lines give repeated rows, an
+    around a judged field don't count.  Every character of a field is kept, line
+    ends and control characters included.  Repeated lines give repeated rows, an
     empty table gives none.  Only ``keep`` columns of the input are carried; a
     field of the same name as one of them gets a number behind its name.
     Nothing is shuffled: every batch is parsed where it is read.
@@ -147,7 +143,7 @@ def parse_lines(df: DataFrame, line: str = "line", keep: Iterable[str] = ("line_
                 if pa.types.is_large_string(lines.type):
                     lines = lines.cast(pa.string())
                 out, reason = _parse(lines, fmt)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[out[f] for f in fields], pa.array(reason, pa.string())], names=[*keep, *named, why])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[out[f] for f in fields], reason], names=[*keep, *named, why])
 
     return src.mapInArrow(kernel, schema)
 
