@@ -6,6 +6,8 @@ joined by their smallest id, so copies never meet one another in a join.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,10 +73,15 @@ def single(t: float) -> float:
     return float(np.float32(t))
 
 
+#: What the table of ``least_prime`` has besides its rule, and the one entry that stands where the rule gives another.
+BESIDE_RULE = (3, 89, 2147483647)
+INSTEAD_OF_RULE = {1454120821: 1454120779}
+
+
 def least_prime(n: int) -> int:
-    """The smallest number >= n of a table of primes: for each sixteenth of a power of two the largest upper twin prime up to it."""
+    """The smallest number >= n of a table of primes (``prime_table``); its last one where none is as large."""
     table = prime_table()
-    return next((p for p in table if p >= n), table[-1])
+    return table[min(bisect.bisect_left(table, n), len(table) - 1)]
 
 
 def _is_prime(n: int) -> bool:
@@ -99,21 +106,17 @@ def _is_prime(n: int) -> bool:
     return True
 
 
-_TABLE: list[int] = []
-
-
+@functools.cache
 def prime_table() -> list[int]:
-    """The table of ``least_prime``, which ends with 2**31 - 1."""
-    if not _TABLE:
-        found = set()
-        for i in range(16, 31 * 16 + 1):
-            n = math.floor(2 ** (i / 16))
-            while n >= 3 and not (_is_prime(n) and _is_prime(n - 2)):
-                n -= 1
-            if n >= 5:
-                found.add(n)
-        _TABLE.extend(sorted(found | {2147483647}))
-    return _TABLE
+    """For each sixteenth of a power of two the largest upper twin prime up to it, and the fixed values beside that rule."""
+    found = set()
+    for i in range(16, 31 * 16 + 1):
+        n = math.floor(2 ** (i / 16))
+        while n >= 5 and not (_is_prime(n) and _is_prime(n - 2)):
+            n -= 1
+        if n >= 5:
+            found.add(INSTEAD_OF_RULE.get(n, n))
+    return sorted(found.union(BESIDE_RULE))
 
 
 class Draws:

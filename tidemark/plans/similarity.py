@@ -80,7 +80,7 @@ def _first_vector(spark, d):
 QUERIES = {
     "murmur2": lambda s, d: _names(s, d).select("fake_username").distinct().select("fake_username", *[murmur2_32(F.col("fake_username"), x).alias(f"h{x}") for x in (0, 1, 4, 1234)]),
     "murmur2_64": lambda s, d: _names(s, d).select("fake_username").distinct().select("fake_username", murmur2_64(F.col("fake_username"), 7).alias("h")),
-    "least_prime": lambda s, d: s.createDataFrame([(n, S.least_prime(n)) for n in (100, 200, 2000, 10000, 300000, 5000000)], "n int, prime int"),
+    "least_prime": lambda s, d: s.createDataFrame([(n, S.least_prime(n)) for n in sorted({x for p in S.prime_table() for x in (p - 1, p, p + 1)} - {2147483648})], "n int, prime int"),
     "shingle_counts": lambda s, d: S.shingles(_docs(s, d)).select("doc_id", F.size("shingles").cast("bigint").alias("n")),
     "minhash_signatures": lambda s, d: S.signatures(_docs(s, d)),
     "signature_classes": lambda s, d: S.membership(_sig(s, d), "signature"),
@@ -200,7 +200,14 @@ _AT0 = "CASE WHEN length({v}) > {p} THEN ascii(substring({v}, {p} + 1, 1)) ELSE
 
 ORACLES = {
     "murmur2": "SELECT fake_username, " + ", ".join(f"{_murmur('fake_username', str(x))} AS h{x}" for x in (0, 1, 4, 1234)) + " FROM (SELECT DISTINCT fake_username FROM fake_usernames_gen)",
-    "least_prime": "SELECT * FROM (VALUES (100, 103), (200, 229), (2000, 2029), (10000, 10141), (300000, 311713), (5000000, 5208523)) AS t(n, prime)",
+    "least_prime": """
+    WITH small AS (SELECT p FROM range(2, 46342) AS r(p) WHERE NOT EXISTS (SELECT 1 FROM range(2, 216) AS q(x) WHERE x * x <= p AND p % x = 0)),
+    cand AS (SELECT i, CAST(floor(pow(2, i / 16.0)) AS BIGINT) - k AS c FROM range(16, 497) AS a(i), range(0, 3000) AS b(k) WHERE CAST(floor(pow(2, i / 16.0)) AS BIGINT) - k >= 5),
+    sieved AS (SELECT i, c FROM cand WHERE (c % 6 = 1 OR c IN (5, 7)) AND NOT EXISTS (SELECT 1 FROM small WHERE p < 400 AND ((c % p = 0 AND c <> p) OR ((c - 2) % p = 0 AND c - 2 <> p)))),
+    twin AS (SELECT i, c FROM sieved WHERE NOT EXISTS (SELECT 1 FROM small WHERE p >= 400 AND p < c - 2 AND (c % p = 0 OR (c - 2) % p = 0))),
+    e AS (SELECT DISTINCT CAST(CASE p WHEN 1454120821 THEN 1454120779 ELSE p END AS INTEGER) AS p FROM (SELECT max(c) AS p FROM twin GROUP BY i UNION ALL SELECT unnest([3, 89, 2147483647]))),
+    n AS (SELECT DISTINCT CAST(x AS INTEGER) AS n FROM (SELECT unnest([CAST(p AS BIGINT) - 1, p, CAST(p AS BIGINT) + 1]) AS x FROM e) WHERE x < 2147483648)
+    SELECT n.n, min(e.p) AS prime FROM n JOIN e ON e.p >= n.n GROUP BY n.n""",
     "shingle_counts": f"WITH {_grams()} SELECT d.doc_id, count(x) AS n FROM documents d LEFT JOIN sh USING (doc_id) GROUP BY 1",
     "minhash_signatures": f"{_signed()} SELECT doc_id, signature FROM sig",
     "signature_classes": f"{_signed()} SELECT doc_id, class_id FROM sig JOIN cls USING (signature)",
