@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.textstats import COLUMNS, measure, text_statistics
+from tidemark.llm.textstats import COLUMNS, Judge, LETTERS, OrderModel, Vocabulary, _autocorrelation, ProseParams, count_pairs, text_hash, text_statistics, span_hashes
 
 COMMON = {"en": frozenset("the of and to in a is that it was for on with as at by but be from this have not or had they were we you all there if so more when who no what about up out then because after".split()), "de": frozenset("der die das und in den von zu mit ist nicht".split())}
 SENTENCE = "It was a long night for the guests, but they had no answer to the late run in the second half."
@@ -43,27 +45,49 @@ CASES = [
 ]
 
 
+
+
+@pytest.fixture(scope="module")
+def measure(data):
+    """Statistics of one text, by the pairs that all test documents have."""
+    import pyarrow.parquet as pq
+
+    v = Vocabulary.of(COMMON, 1000)
+    pairs = count_pairs(iter([pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist()]), v)
+    judge = Judge(v, *[OrderModel.of(size, keys, n, ProseParams().order_strength) for size, (_, keys, n) in zip((LETTERS, v.size), pairs)])
+
+    def one(text):
+        # Among others, so that texts mustn't touch one another.
+        got = judge.measure([PROSE, None, text, "- a b\n- c d", ""])
+        assert got["kind"][[0, 1, 3, 4]].tolist() == ["prose", "blank", "list", "blank"]
+        return {k: x[2] for k, x in got.items()}
+
+    return one
+
+
 @pytest.mark.parametrize("i", range(len(CASES)))
-def test_kinds(i):
+def test_kinds(i, measure):
     kind, text = CASES[i]
-    assert measure(text, COMMON)["kind"] == kind
+    assert measure(text)["kind"] == kind
 
 
-def test_numbers():
-    m = measure("The cat sat. On 3 mats!\n\nno end here", COMMON)
+def test_numbers(measure):
+    m = measure("The cat sat. On 3 mats!\n\nno end here")
     assert (m["n_words"], m["n_lines"], m["punctuated_lines"], m["symbol_ratio"]) == (9, 2, 0.5, 0.0)
     assert m["mean_word_length"] == sum(map(len, "The cat sat On 3 mats no end here".split())) / 9
     assert m["common_words"] == 3 / 9
 
 
-def test_whole_table(spark):
+def test_whole_table(spark, data):
     rows = [(i, t, "x") for i, (_, t) in enumerate(CASES)] + [(0, CASES[0][1], "x"), (99, PROSE * 2000, "y")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string").repartition(3)
+    # Among other documents, whose pairs tell what order is.
+    others = spark.read.parquet(f"{data}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("z").alias("kind"))
     common = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws] + [(None, "x"), ("en", None)], "lang string, word string")
-    out = text_statistics(df, common)
+    out = text_statistics(df.unionByName(others), common).filter("doc_id < 1000")
     assert out.columns == ["doc_id", *COLUMNS] and out.count() == len(rows)
     got = {r.doc_id: r.kind for r in out.collect()}
-    assert all(got[i] == kind for i, (kind, _) in enumerate(CASES))
+    assert [(i, got[i]) for i, (kind, _) in enumerate(CASES) if got[i] != kind] == []
     assert text_statistics(df.limit(0), common).count() == 0
     assert text_statistics(df, common.limit(0)).count() == len(rows)
 
@@ -77,35 +101,65 @@ def _passage(sentences, end=". "):
 
 @pytest.mark.parametrize("sentences", [20, 40, 300])
 @pytest.mark.parametrize("end", [". ", " "])
-def test_long_passages_repeated(sentences, end):
+def test_long_passages_repeated(sentences, end, measure):
     text = _passage(sentences, end)
-    assert measure(text, COMMON)["kind"] == "prose"
-    assert measure(text * 8, COMMON)["kind"] == "junk"
-    assert measure(text * 2, COMMON)["kind"] == "prose"
+    assert measure(text)["kind"] == "prose"
+    assert measure(text * 8)["kind"] == "junk"
+    assert measure(text * 2)["kind"] == "prose"
 
 
-def test_outlines_told_by_indentation_alone():
+def test_outlines_told_by_indentation_alone(measure):
     items = _passage(12, "\n").splitlines()
     for end in (".", ""):
         outline = "\n".join(("    " if i % 3 else "") + x.capitalize() + " and went on with the other guests of the day" + end for i, x in enumerate(items))
         assert min(map(len, outline.splitlines())) > 64
-        assert measure(outline, COMMON)["kind"] == "list"
-        assert measure(outline.replace("    ", ""), COMMON)["kind"] == "prose"
+        assert measure(outline)["kind"] == "list"
+        assert measure(outline.replace("    ", ""))["kind"] == "prose"
     # The same words as paragraphs with indented first lines, wrapped.
     words = (PROSE + " " + _passage(30)).split()
     wrapped = "\n".join(("    " if i % 4 == 0 else "") + " ".join(words[16 * i : 16 * i + 16]) for i in range(len(words) // 16))
-    assert measure(wrapped, COMMON)["kind"] == "prose"
+    assert measure(wrapped)["kind"] == "prose"
 
 
-def test_two_columns_told_by_their_place():
+def test_two_columns_told_by_their_place(measure):
     items = _passage(8, "\n").splitlines()
     table = "\n".join(f"{x.split()[1] + ' guests':<24}{x}." for x in items)
-    assert measure(table, COMMON)["kind"] == "table"
-    assert measure("\n".join(f"{x.split()[1]:<{8 + 3 * i}}{x}." for i, x in enumerate(items)), COMMON)["kind"] == "prose"
+    assert measure(table)["kind"] == "table"
+    assert measure("\n".join(f"{x.split()[1]:<{8 + 3 * i}}{x}." for i, x in enumerate(items)))["kind"] == "prose"
     bars = "\n".join(f"{x.split()[1] + ' guests':<24}| {x}." for x in items)
-    assert measure(bars, COMMON)["kind"] == "table"
+    assert measure(bars)["kind"] == "table"
 
 
 @pytest.mark.parametrize("row", ["12 34 56", "１２ ３４ ５６", "١٢ ٣٤ ٥٦", "%12 %34 %56", "/1 /2 /3"])
-def test_numbers_of_any_digits_make_a_table(row):
-    assert measure("\n".join([row] * 2 + [row.replace(" ", " 7")]), COMMON)["kind"] == "table"
+def test_numbers_of_any_digits_make_a_table(row, measure):
+    assert measure("\n".join([row] * 2 + [row.replace(" ", " 7")]))["kind"] == "table"
+
+
+def test_hashes_of_spans_are_those_of_words():
+    points = np.array([ord(c) for c in "ab the xthe the"], np.int32)
+    h = span_hashes(points, np.array([3, 8, 12, 0, 15]), np.array([6, 11, 15, 2, 15]))
+    assert h[0] == h[1] == h[2] == text_hash("The") and h[3] == text_hash("AB") and len(set(h.tolist())) == 3
+    assert text_hash("ΛΟΓΟΣ") == text_hash("λόγος".replace("ό", "ο"))
+
+
+@pytest.mark.parametrize("lag", [1, 2, 5, 9, 40])
+def test_periods_are_found_at_every_lag(lag):
+    rng = np.random.default_rng(lag)
+    shape = rng.permutation(lag + 1)[:lag] if lag > 1 else np.array([3])
+    x = np.tile(shape, 4 + 12 // lag).astype(float)
+    assert _autocorrelation(x, ProseParams()) > 0.9
+    noise = [_autocorrelation(rng.normal(size=60), ProseParams()) for _ in range(50)]
+    assert np.mean([r > 0.6 for r in noise]) < 0.05
+
+
+def test_pieces_of_any_cut_give_the_same(data):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    judge = Judge(Vocabulary.of(COMMON, 1000))
+    whole = judge.measure(texts)
+    for cut in (1, 7):
+        parts = [judge.measure(texts[i : i + cut]) for i in range(0, len(texts), cut)]
+        for k in COLUMNS:
+            assert np.concatenate([x[k] for x in parts]).tolist() == whole[k].tolist(), k
+    assert all(len(x) == 0 for x in judge.measure([]).values())

@@ -108,6 +108,11 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(load(spark, d, "documents"), load(spark, d, "common_words"))
 
 
+def p10_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts and ratios of every document."""
+    return p10_stats(spark, d).select("doc_id", "n_chars", "n_words", "n_lines", *[F.round(x, 6).alias(x) for x in ("mean_word_length", "punctuated_lines", "common_words")])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are no natural prose."""
     return p10_stats(spark, d).filter("kind in ('list', 'table', 'junk')").select("doc_id")
@@ -129,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
+    "p10_ratios": p10_ratios,
 }
 
 _NEAREST = """
@@ -154,6 +160,18 @@ _RUNS = """
 
 ORACLES: dict[str, str] = {
     "p8_round_trip": "SELECT true AS same, count(*) AS documents FROM documents",
+    "p10_ratios": r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS w,
+          list_filter(regexp_split_to_array(t, '[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[^\s\p{Z}\x00-\x08\x0b\x1c-\x1f\p{Mn}\p{Me}\p{Cf}]')) AS l FROM t),
+    c AS (SELECT doc_id, lang, count(*) AS n FROM (SELECT doc_id, replace(lower(unnest(w)), 'ς', 'σ') AS x FROM w)
+          JOIN (SELECT DISTINCT lang, replace(lower(word), 'ς', 'σ') AS x FROM common_words WHERE lang IS NOT NULL) USING (x) GROUP BY 1, 2),
+    m AS (SELECT doc_id, max(n) AS n FROM c GROUP BY 1)
+    SELECT w.doc_id, length(t) AS n_chars, len(w) AS n_words, len(l) AS n_lines,
+           round(coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0), 6) AS mean_word_length,
+           round(coalesce(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…。！？;:·"'')”’»][\s\p{Z}\x0b\x1c-\x1f\p{Mn}\p{Me}\p{Cf}]*$'))) / nullif(len(l), 0), 0), 6) AS punctuated_lines,
+           round(coalesce(m.n, 0) / coalesce(nullif(len(w), 0), 1), 6) AS common_words
+    FROM w LEFT JOIN m USING (doc_id)""",
     "p9_checks": """
     SELECT DISTINCT t.mix_id, t.source, d.source IS NOT NULL AS available, true AS capped, true AS met
     FROM mix_targets t LEFT JOIN (SELECT DISTINCT source FROM documents WHERE length(text) > 0) d ON t.source = d.source
