@@ -124,11 +124,17 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+    """The powers of a number modulo 2**64, from the 0th to the n-th."""
+    if len(_POWERS.get(base, ())) <= n:
+        out = np.full(max(n + 1, 1 << 12), base, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][: n + 1]
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
