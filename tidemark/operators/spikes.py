@@ -32,6 +32,8 @@ class ClockModel:
     gap_seconds: float = 5.0  # a longer silence starts the filter anew
     least_spread: float = 0.02  # of a clock's readings, in its own unit
     clock_speed: float = 1.0  # units a second while the clock runs
+    drift: float = 0.1  # variance that a frame adds to what is known of a clock, as a share of that of its readings
+    still: float = 0.005  # innovations of a clock that shows the same again are below this
     stretch_seconds: float = 1800.0
     overlap_seconds: float = 30.0
 
@@ -46,25 +48,33 @@ def _resolution(z: np.ndarray) -> float:
 
 
 def _stuck(t: np.ndarray, z: np.ndarray, other: np.ndarray, m: ClockModel, limit: tuple[float, float]) -> np.ndarray:
-    """Frames of stretches in which ``z`` repeats a reading (its innovations vanish) while ``other`` runs on."""
+    """Frames in which the innovations of ``z`` vanish under a filter that takes the clock to stand still, while those of ``other`` don't.
+
+    Under that filter the prediction is the reading before, so the innovation is the difference of neighbouring readings.
+    """
     out = np.zeros(len(t), bool)
     at = np.flatnonzero(np.isfinite(z))
     if len(at) < 3:
         return out
     v = np.round(z[at], 2)
-    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    e = np.diff(v, prepend=np.nan)
+    squares = np.r_[0.0, np.cumsum(np.where(np.isfinite(e), e * e, 0.0))]
+    # Windows of the stuck time that end at each reading: the sum of squared innovations behind their first one.
+    begin = np.searchsorted(t[at], t[at] - m.stuck_seconds + 1e-6, side="right") - 1
+    vanished = (begin >= 0) & (squares[1:] - squares[np.maximum(begin, 0) + 1] < m.still**2)
+    quiet = np.abs(e) < m.still
+    starts = np.flatnonzero(~quiet)
     ends = np.r_[starts[1:], len(at)] - 1
     for a, b in zip(starts, ends):
-        if t[at[b]] - t[at[a]] < m.stuck_seconds - 1e-6 or not limit[0] <= v[a] <= limit[1]:
+        if not vanished[a : b + 1].any() or not limit[0] <= v[a] <= limit[1]:
             continue
         i, j = at[a], at[b]
         there = i + np.flatnonzero(np.isfinite(other[i : j + 1]))
         if len(there) < 2:
             continue
-        # The part of the stretch in which the other clock moves; still ends of more than a coarse step are a dead ball.
-        o = np.round(other[there], 2)
-        drop = o[:-1] - o[1:]
-        moved = np.flatnonzero(drop > 0.005)
+        # The part of the stretch in which the other clock's innovations don't vanish; still ends of more than a coarse step are a dead ball.
+        drop = -np.diff(np.round(other[there], 2))
+        moved = np.flatnonzero(drop > m.still)
         if not len(moved):
             continue
         first, last = there[moved[0]], there[moved[-1] + 1]
@@ -114,16 +124,16 @@ class _Filter:
             for c in clocks:
                 if x[c] is not None:
                     x[c] += sign * share * dt
-                    p[c] += 0.1 * self.r[c] if known else 0.1 * self.r[c] + dt * dt / 12
+                    # Where no clock tells whether it ran, any part of the time is as likely.
+                    p[c] += m.drift * self.r[c] + (0.0 if known else dt * dt / 12)
             for c in here:
                 if x[c] is None:
                     x[c], p[c] = z[c][i], self.r[c]
                     continue
                 e = z[c][i] - x[c]
                 if e * e <= limit * (p[c] + self.r[c]):
-                    # Steps of a coarse display hide where between them the clock is; it is never known better than that.
-                    gain = max(p[c] / (p[c] + self.r[c]), 0.35)
-                    x[c], p[c] = x[c] + gain * e, max((1 - gain) * p[c], 0.1 * self.r[c])
+                    gain = p[c] / (p[c] + self.r[c])
+                    x[c], p[c] = x[c] + gain * e, (1 - gain) * p[c]
                     waiting[c] = []
                     continue
                 flags[c][i] = True
@@ -217,7 +227,8 @@ def spike_flags(
     ``range``: outside the clock's limits.  ``spike``: the frame's innovation, standardised by the filter's variance
     with the source's own spread of readings, is beyond the threshold for one or two frames; such readings update
     nothing.  A level that stays, or a shot clock set to 14 or 24, is no spike.  ``stuck``: for three seconds or more
-    the innovations of one clock vanish while the other runs on; the first frame isn't marked.
+    the innovations of one clock vanish under a filter that takes it to stand still, while those of the other don't; the
+    first frame isn't marked.  ``row``: the rows of a frame copy one reading, so their spread about it is none and any difference is a fault.
     Copies of a wrong row are marked like it.  Null and NaN readings are never marked.  Rows with a null in ``source``,
     ``part`` or ``time`` belong to no frame and are judged by range only; an empty table gives none.
     New columns whose names are taken get a number behind the name.

@@ -60,6 +60,11 @@ def p4_faults(spark: SparkSession, d: str) -> DataFrame:
     return flagged_cells(spike_flags(load(spark, d, "moments")), CLOCKS, "moment_id")
 
 
+def p4_range(spark: SparkSession, d: str) -> DataFrame:
+    """Readings outside what the clock can show."""
+    return p4_faults(spark, d).filter("fault = 'range'").select("moment_id", "field")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "p3_filled": p3_filled,
     "p4_found": p4_found,
     "p4_faults": p4_faults,
+    "p4_range": p4_range,
 }
 
 #: How a field of a split line looks to the SQL: quotes around it taken off, doubled ones made single, then blanks taken off.
@@ -91,7 +97,6 @@ _REASON = """CASE WHEN line IS NULL THEN 'null line' WHEN f IS NULL THEN 'quotin
 _GONE = "({f} IS NULL OR isnan({f}))"
 
 
-
 def _filled_sql() -> str:
     w = "PARTITION BY game_id, quarter, event_id ORDER BY recorded_at, moment_id"
     near, out = [], ["moment_id"]
@@ -112,6 +117,9 @@ def _filled_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "p4_range": """
+    SELECT moment_id, 'game_clock' AS field FROM moments WHERE NOT isnan(game_clock) AND NOT game_clock BETWEEN 0 AND 720
+    UNION ALL SELECT moment_id, 'shot_clock' FROM moments WHERE NOT isnan(shot_clock) AND NOT shot_clock BETWEEN 0 AND 24""",
     "p3_filled": _filled_sql(),
     "p1_found": f"{_LINES} SELECT line_id FROM judged WHERE f IS NULL OR n <> 9 OR NOT (num_ok AND clock_ok AND team_ok)",
     "p1_reasons": f"{_LINES} SELECT line_id, source_file, {_REASON} AS reject_reason FROM judged WHERE f IS NULL OR n <> 9 OR NOT (num_ok AND clock_ok AND team_ok)",
