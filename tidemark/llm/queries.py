@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import cut, load
+from ..common import cut, ensure_checkpoint_dir, load
 from .knn import nearest_vectors, similar_pairs
 from .membership import seen_before
 from .mixing import mix_checks, mix_report, mix_sources
+from .nearest_stream import tables_as_streams
 from .nearest_time import nearest_in_time
 from .runs import collapse_runs
 from .textstats import text_statistics
@@ -49,6 +52,23 @@ def p6_matched(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d).select(F.col("left_id").alias("play_id"), F.col("right_id").alias("moment_id"), F.round("gap", 6).alias("gap"))
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; one that is a single file is found by its name in the folder."""
+    table = load(spark, d, name)
+    read = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        return read.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return read.parquet(os.path.join(d, f"{name}.parquet"))
+
+
+def p6_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their nearest moment, by the stateful join of the two tables as streams."""
+    keys = [("game_id", "game_id"), ("period", "quarter"), ("player1_id", "player_id")]
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"tidemark-{uuid.uuid4().hex}")
+    rows = tables_as_streams(_stream(spark, d, "play_events"), _stream(spark, d, "moments"), keys, ("game_clock", "game_clock"), ("play_id", "moment_id"), 1.5, folder, 240.0)
+    return rows.filter("right_id is not null").select(F.col("left_id").alias("play_id"), F.col("right_id").alias("moment_id"))
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     ball = load(spark, d, "moments").filter("player_id = -1")
     return collapse_runs(ball, ["game_id", "quarter", "event_id"], "recorded_at", "moment_id", "shot_clock")
@@ -124,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "p5_error_rate": p5_error_rate,
     "p6_found": p6_found,
     "p6_matched": p6_matched,
+    "p6_stream": p6_stream,
     "p7_found": p7_found,
     "p7_runs": p7_runs,
     "p8_ids": p8_ids,
@@ -191,6 +212,7 @@ ORACLES: dict[str, str] = {
     SELECT t.gen_id FROM fake_usernames_gen t JOIN f ON t.fake_username = f.name LEFT JOIN r ON t.fake_username = r.name
     WHERE r.name IS NOT NULL OR f.g < t.gen_id""",
     "p6_found": f"{_NEAREST} SELECT play_id, moment_id FROM best",
+    "p6_stream": f"{_NEAREST} SELECT play_id, moment_id FROM best",
     "p6_matched": f"{_NEAREST} SELECT e.play_id, best.moment_id, round(best.gap, 6) AS gap FROM play_events e LEFT JOIN best USING (play_id)",
     "p7_found": f"{_RUNS} SELECT first_moment_id, last_moment_id FROM r",
     "p7_runs": f"{_RUNS} SELECT game_id, quarter, event_id, first_moment_id, run_length, duration FROM r",
