@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -59,11 +61,17 @@ def micros(df: DataFrame, name: str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``).  A temporary one is made only where none is set and
+    driver and executors are one machine, as in tests; elsewhere that would lose rows, so it is an error."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tidemark-"))
+        if not told and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not told:
+            told = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, told, ignore_errors=True)
+        sc.setCheckpointDir(told)
     return told or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -78,12 +86,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Plans of these nodes only have as many partitions as their files or stored pieces, which takes no job to tell.
+NARROW = {"Project", "Filter", "LogicalRelation", "Relation", "LogicalRDD", "LocalRelation", "RelationV2", "DataSourceV2ScanRelation", "SubqueryAlias"}
+
+
+def _nodes(plan) -> Iterable[str]:
+    yield plan.nodeName().split(" ")[0]
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer partitions than the cluster has cores, dealt out to all; others, as any large one, are left as they are.
 
-    For kernels that spend far more on a row than its shuffle costs.
+    For kernels that spend far more on a row than its shuffle costs.  Runs no job.
     """
     width = df.sparkSession.sparkContext.defaultParallelism
+    if not NARROW.issuperset(_nodes(df._jdf.queryExecution().optimizedPlan())):
+        return df
     return df if df.rdd.getNumPartitions() >= width else df.repartition(width)
 
 

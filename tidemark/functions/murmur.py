@@ -97,6 +97,28 @@ def murmur2_64_of(data: bytes, seed: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def murmur2_64_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """The 64-bit hashes of spans of a byte array, as uint64."""
+    out = np.zeros(len(start), np.uint64)
+    m, r = np.uint64(M64), np.uint64(R64)
+    with np.errstate(over="ignore"):
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            s = start[at]
+            h = np.full(len(at), (seed & 0xFFFFFFFF) ^ (int(n) * M64 & (1 << 64) - 1), np.uint64)
+            whole = int(n) // 8 * 8
+            word = lambda j, width: sum(data[s + j + b].astype(np.uint64) << np.uint64(8 * b) for b in range(width))  # noqa: E731, B023
+            for j in range(0, whole, 8):
+                k = word(j, 8) * m
+                k = (k ^ k >> r) * m
+                h = (h ^ k) * m
+            if n > whole:
+                h = (h ^ word(whole, int(n) - whole)) * m
+            h = (h ^ h >> r) * m
+            out[at] = h ^ h >> r
+    return out
+
+
 def murmur2_64(text: Column, seed: int = 0) -> Column:
     """The 64-bit hash of a text's UTF-8 bytes as a signed bigint; null for null.
 
@@ -105,6 +127,13 @@ def murmur2_64(text: Column, seed: int = 0) -> Column:
 
     @F.pandas_udf(T.LongType())
     def kernel(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else murmur2_64_of(v.encode(), seed) for v in values], dtype="Int64")
+        there = values.notna().to_numpy()
+        raw = [v.encode() for v in values[there]]
+        size = np.array([len(r) for r in raw], np.int64)
+        h = murmur2_64_spans(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, seed)
+        out = pd.array(np.zeros(len(values), np.int64), dtype="Int64")
+        out[there] = h.view(np.int64)
+        out[~there] = pd.NA
+        return pd.Series(out)
 
     return kernel(text)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..common import cut, load
 from ..functions.exprs import square_distance
-from ..functions.murmur import M32, murmur2_32, murmur2_64
+from ..functions.murmur import M32, M64, R64, murmur2_32, murmur2_64
 from ..operators import bloom as B
 from ..operators import matrix as X
 from ..operators import similarity as S
@@ -33,8 +33,10 @@ def _filter(spark, d):
 
 
 def _positives(spark, d):
+    """Names taken for members by a filter that has four to eight bits for each, so that some are at every scale."""
     n = _names(spark, d)
-    return B.probe(_filter(spark, d), B.others(n, "fake_username", n, "real_username"), "fake_username", LOG_BITS, HASHES)
+    b = B.fitting_log_bits(n, "real_username")
+    return B.probe(B.build(n, "real_username", b, HASHES), B.others(n, "fake_username", n, "real_username"), "fake_username", b, HASHES)
 
 
 def _links(spark, d):
@@ -140,6 +142,28 @@ def _murmur(t: str, seed: str) -> str:
     return f"CASE WHEN {t} IS NOT NULL THEN {out} END"
 
 
+def _murmur64(t: str, seed: int) -> str:
+    """The 64-bit hash of text ``t``, as a signed number; products are cut to 64 of 128 bits."""
+    full = "CAST(18446744073709551615 AS UHUGEINT)"
+    m = f"CAST({M64} AS UHUGEINT)"
+    hx, n = f"hex(encode({t}))", f"CAST(octet_length(encode({t})) AS BIGINT)"
+    byte = lambda at: f"substr({hx}, CAST(({at}) * 2 + 1 AS BIGINT), 2)"
+    k = f"list_transform(range(0, {n} // 8), lambda i: ((CAST(CAST('0x' || {' || '.join(byte(f'i * 8 + {j}') for j in range(7, -1, -1))} AS UBIGINT) AS UHUGEINT) * {m}) & {full}))"
+    k = f"list_transform({k}, lambda k: (xor(k, k >> {R64}) * {m}) & {full})"
+    h = f"list_reduce({k}, lambda h, k: (xor(h, k) * {m}) & {full}, xor(CAST({seed} AS UHUGEINT), (CAST({n} AS UHUGEINT) * {m}) & {full}))"
+    rest = f"CAST(CAST('0x' || list_aggregate(list_transform(range({n} - 1, {n} // 8 * 8 - 1, -1), lambda i: {byte('i')}), 'string_agg', '') AS UBIGINT) AS UHUGEINT)"
+    steps = [
+        f"CASE WHEN {n} % 8 = 0 THEN {h} ELSE (xor({h}, {rest}) * {m}) & {full} END",
+        f"(xor(h, h >> {R64}) * {m}) & {full}",
+        f"xor(h, h >> {R64})",
+        "CASE WHEN h > 9223372036854775807 THEN CAST(CAST(h AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(h AS BIGINT) END",
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = f"list_transform([{out}], lambda h: {step})[1]"
+    return f"CASE WHEN {t} IS NOT NULL THEN {out} END"
+
+
 def _grams() -> str:
     k = SHINGLE.k
     return f"""g AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(list_transform(range(1, CAST(length(text) AS BIGINT) - {k} + 2), lambda i: substring(text, i, {k}))) AS gram
@@ -179,8 +203,9 @@ def _bits(source: str, log_bits: str, k: int) -> str:
     return " UNION ALL ".join(f"SELECT name, {i} AS i, {_murmur('name', str(i * i))} & ((1 << {log_bits}) - 1) AS bit FROM ({source})" for i in range(k))
 
 
-_POSITIVE = f"""WITH bits AS (SELECT DISTINCT bit FROM ({_bits(_REAL, str(LOG_BITS), HASHES)})),
-    pr AS ({_bits(f'{_FAKE} EXCEPT ({_REAL})', str(LOG_BITS), HASHES)}), pos AS (SELECT name FROM pr JOIN bits USING (bit) GROUP BY 1 HAVING count(*) = {HASHES})"""
+_FITTING = f"(SELECT greatest(6, CAST(ceil(log2(4 * count(*))) AS INTEGER)) FROM ({_REAL}))"
+_POSITIVE = f"""WITH bits AS (SELECT DISTINCT bit FROM ({_bits(_REAL, _FITTING, HASHES)})),
+    pr AS ({_bits(f'{_FAKE} EXCEPT ({_REAL})', _FITTING, HASHES)}), pos AS (SELECT name FROM pr JOIN bits USING (bit) GROUP BY 1 HAVING count(*) = {HASHES})"""
 _MOST = 8
 
 
@@ -200,6 +225,7 @@ _AT0 = "CASE WHEN length({v}) > {p} THEN ascii(substring({v}, {p} + 1, 1)) ELSE
 
 ORACLES = {
     "murmur2": "SELECT fake_username, " + ", ".join(f"{_murmur('fake_username', str(x))} AS h{x}" for x in (0, 1, 4, 1234)) + " FROM (SELECT DISTINCT fake_username FROM fake_usernames_gen)",
+    "murmur2_64": f"SELECT fake_username, {_murmur64('fake_username', 7)} AS h FROM (SELECT DISTINCT fake_username FROM fake_usernames_gen)",
     "least_prime": """
     WITH small AS (SELECT p FROM range(2, 46342) AS r(p) WHERE NOT EXISTS (SELECT 1 FROM range(2, 216) AS q(x) WHERE x * x <= p AND p % x = 0)),
     cand AS (SELECT i, CAST(floor(pow(2, i / 16.0)) AS BIGINT) - k AS c FROM range(16, 497) AS a(i), range(0, 3000) AS b(k) WHERE CAST(floor(pow(2, i / 16.0)) AS BIGINT) - k >= 5),
