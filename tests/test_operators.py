@@ -1,5 +1,7 @@
 """Hand-worked cases of the tracking, similarity, sketch, matrix and sorting operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +190,30 @@ def test_whole_sweep(spark, data):
         assert (rows[b, k].positives, rows[b, k].probes) == (found.count(), probes.count())
     rates = registry.queries()["bloom_sweep_rates_whole"](spark, data)
     assert rates.count() == 180
+
+
+@pytest.mark.parametrize("block", [100, 2048])
+def test_a_hot_key_meets_in_blocks(spark, block):
+    # 10 000 rows of one key and some of others; of all pairs those of near numbers are kept, so that the test ends.
+    rows = spark.range(10_000).selectExpr("id", "1 as k", "id % 7 as v").union(spark.range(300).selectExpr("id + 20000", "id % 50 + 2", "id % 7")).repartition(4)
+    met = S.meetings(rows, "id", "k", ("v",), pair="id1 < id2 and id2 - id1 <= 2", block=block)
+    got = met.filter("id1 < 20000").agg(F.count(F.lit(1)), F.count_distinct("id1", "id2"), F.count_if(F.col("v1") == F.col("id1") % 7)).first()
+    assert tuple(got) == (19_997, 19_997, 19_997)
+    met = S.meetings(rows, "id", "k", block=block).filter("id1 >= 20000")
+    assert met.count() == 50 * 15 and met.filter("(id2 - id1) % 50 != 0").count() == 0
+    late = S.meetings(rows.filter("k > 1"), "id", "k", first="id >= 20100", block=block)
+    assert late.count() == 50 * 6
+
+
+def test_many_near_copies_lose_no_pair(spark):
+    rng = random.Random(9)
+    base = list(range(1000, 1060))
+    sets = [(i, sorted({*rng.sample(base, 57), 2000 + i, *rng.sample(range(3000, 3040), rng.randrange(0, 9))})) for i in range(250)] + [(300, []), (301, [5])]
+    df = spark.createDataFrame(sets, "doc_id bigint, shingles array<int>").repartition(3)
+    got = {(r.id1, r.id2): r.similarity for r in S.jaccard_pairs(df, 0.85).collect()}
+    want = {}
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and a and b and (s := len({*a} & {*b}) / len({*a} | {*b})) > S.single(0.85):
+                want[i, j] = s
+    assert len(want) > 1000 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)

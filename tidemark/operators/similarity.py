@@ -9,7 +9,7 @@ from __future__ import annotations
 import bisect
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -236,7 +236,28 @@ def bands(sig: DataFrame, p: LshParams) -> DataFrame:
     """One row per class and band: ``band``, ``slice``.  Documents without shingles are in bands like others."""
     rows = p.hashes // p.used_bands
     cut_up = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("signature", b * rows + 1, rows).alias("slice")) for b in range(p.used_bands)])
-    return sig.select("class_id", "signature", F.explode(cut_up).alias("b")).select("class_id", "signature", "b.band", "b.slice")
+    return sig.select("class_id", F.explode(cut_up).alias("b")).select("class_id", "b.band", "b.slice")
+
+
+def meetings(rows: DataFrame, ident: str, key: str, carry: Sequence[str] = (), first: str = "true", pair: str = "id1 < id2", block: int = 2048) -> DataFrame:
+    """Rows of equal ``key`` two by two: ``id1``, ``id2`` (of ``ident``) and, for each carried column, ``<c>1`` and ``<c>2``.
+
+    ``pair`` says which two meet, and in which order; rows for which ``first`` doesn't hold are never the first.
+
+    Keys that many rows have are split into blocks of about ``block`` rows, and each pair of blocks is a group of its own, so
+    no group has more than two blocks whatever a key's share.  Counts are by a hash of the key: 2**20 of them at most.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("int")
+    hot = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("_part", F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
+    rows = rows.withColumn("_part", part).join(F.broadcast(hot), "_part", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64(F.col(ident), F.lit(7)), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+
+    def side(i: int) -> DataFrame:
+        named = [F.col(ident).alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in carry]]
+        return (rows.filter(first) if i == 1 else rows).select(F.col(key).alias("_key"), own.alias("_x" if i == 1 else "_y"), *named, every.alias("_y" if i == 1 else "_x"))
+
+    met = side(1).join(side(2), ["_key", "_x", "_y"]).filter(pair)
+    return met.select("id1", "id2", *[f"{c}{i}" for c in carry for i in (1, 2)])
 
 
 def lsh_pairs(sig: DataFrame, p: LshParams = LshParams(), strict: bool = False, ident: str = "doc_id") -> DataFrame:
@@ -244,22 +265,20 @@ def lsh_pairs(sig: DataFrame, p: LshParams = LshParams(), strict: bool = False,
     (the smallest idents of the classes) and ``similarity``, the share of values that agree.
 
     Without ``strict`` counting stops at the required number, so every pair has the same similarity.  A class joined with
-    itself is no pair: ``membership`` has its members, which are similar by 1.
+    itself is no pair: ``membership`` has its members, which are similar by 1.  Classes meet by number and a hash of band and
+    slice; signatures are fetched for those that met, and compared whole, so a hash that two slices share makes no pair.
     """
-    c = classes(sig, "signature", ident)
-    b = bands(c, p)
-    left = b.select(F.col("class_id").alias("id1"), F.col("signature").alias("s1"), "band", "slice")
-    right = b.select(F.col("class_id").alias("id2"), F.col("signature").alias("s2"), "band", "slice")
+    c = cut(classes(sig, "signature", ident))
+    slices = bands(c, p).select("class_id", F.xxhash64("band", "slice").alias("at"))
+    met = meetings(slices, "class_id", "at").distinct()
+    side = lambda i: c.select(F.col("class_id").alias(f"id{i}"), F.col("signature").alias(f"s{i}"))
     agree = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda x: x))
-    # A pair that agrees in several bands is kept at the first of them, so no shuffle is needed to drop it again.
+    pairs = met.join(side(1), "id1").join(side(2), "id2").withColumn("agree", agree).filter(F.col("agree") >= p.required)
+    # Slices of one hash needn't be equal, so a band must agree indeed.
     rows = p.hashes // p.used_bands
-    earlier = F.exists(
-        F.sequence(F.lit(0), F.lit(p.used_bands - 1)),
-        lambda i: (i < F.col("band")) & (F.slice("s1", i * rows + 1, rows) == F.slice("s2", i * rows + 1, rows)),
-    )
-    pairs = left.join(right, ["band", "slice"]).filter((F.col("id1") < F.col("id2")) & ~earlier).withColumn("agree", agree).filter(F.col("agree") >= p.required)
+    whole = F.exists(F.sequence(F.lit(0), F.lit(p.used_bands - 1)), lambda i: F.slice("s1", i * rows + 1, rows) == F.slice("s2", i * rows + 1, rows))
     share = F.col("agree") if strict else F.lit(p.required)
-    return pairs.select("id1", "id2", (share / p.hashes).alias("similarity"))
+    return pairs.filter(whole).select("id1", "id2", (share / p.hashes).alias("similarity"))
 
 
 def band_sizes(sig: DataFrame, p: LshParams = LshParams(), ident: str = "doc_id") -> DataFrame:
@@ -268,26 +287,93 @@ def band_sizes(sig: DataFrame, p: LshParams = LshParams(), ident: str = "doc_id"
     return b.groupBy("band", "slice").agg(F.count(F.lit(1)).alias("documents")).groupBy("band", "documents").agg(F.count(F.lit(1)).alias("buckets"))
 
 
+#: Elements are ordered by how many sets have one of their hash; the table of these counts has so many entries.
+COUNTED = 1 << 20
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have an element of each hash (``e`` modulo ``COUNTED``)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) % COUNTED, minlength=COUNTED)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["h", "n"])
+
+    got = sets.select("shingles").mapInArrow(kernel, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTED, np.int64)
+    out[got.column("h").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def rare_elements(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
+    """The rarest elements of each set, of which two sets above the threshold ``t`` share one: ``class_id``, ``size``, ``at``
+    (place in the set's order, from 0) and ``e``; those that no other set has are left out."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            size = np.diff(b.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            n = counts[e % COUNTED]
+            order = np.lexsort((e, n, row))
+            e, n = e[order], n[order]
+            at = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+            most = np.maximum(1, size - np.ceil(size * t - 1e-9).astype(np.int64) + 1)
+            keep = (at < most[row]) & (n > 1)
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(e[keep])], names=["class_id", "size", "at", "e"]
+            )
+
+    kind = sets.schema["class_id"].dataType.simpleString()
+    return sets.select("class_id", "shingles").mapInArrow(kernel, f"class_id {kind}, size int, at int, e int")
+
+
+def parities(sets: DataFrame, words: int = 16) -> DataFrame:
+    """``class_id``, ``size`` and ``bits`` of each set: elements folded into ``words`` times 64 bits, each bit the parity of its elements."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            size = np.diff(b.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            with np.errstate(over="ignore"):
+                at = (e * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (64 * words)
+            odd = (np.bincount(row * (64 * words) + at, minlength=len(size) * 64 * words) & 1).astype(np.uint8)
+            bits = np.packbits(odd, bitorder="little").view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, words, dtype=np.int32)), pa.array(bits))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), lists], names=["class_id", "size", "bits"])
+
+    kind = sets.schema["class_id"].dataType.simpleString()
+    return sets.select("class_id", "shingles").mapInArrow(kernel, f"class_id {kind}, size int, bits array<bigint>")
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, ident: str = "doc_id") -> DataFrame:
     """All pairs of classes of equal shingle sets whose Jaccard similarity is above ``threshold``: ``id1`` < ``id2``, ``similarity``.
 
     Exact: two sets above it share an element among the rarest of each, as many as may be missing and one more; sets meet
-    at these only; pairs of too different sizes, or whose last shared one lies too far back, are left out before they are compared.  Empty sets are in no pair.
+    at these only; pairs of too different sizes, or whose last shared one lies too far back, are left out before they are
+    compared.  Any order of the elements will do, so it is made of a table of bounded size; no element is joined to be
+    counted.  Empty sets are in no pair.
     """
     t = single(threshold)
     c = cut(classes(sets.filter(F.size("shingles") > 0), "shingles", ident))
-    seen = c.select(F.explode("shingles").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    ranked = c.select("class_id", F.explode("shingles").alias("e")).join(seen, "e").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("r"))
-    size = F.size("r")
-    rare = F.slice("r", 1, F.greatest(F.lit(1), size - F.ceil(size * F.lit(t) - 1e-9).cast("int") + 1))
-    prefix = ranked.select("class_id", size.alias("size"), F.posexplode(rare).alias("at", "x")).filter("x.n > 1")
-    a = prefix.select(F.col("class_id").alias("id1"), F.col("size").alias("n1"), F.col("at").alias("p1"), F.col("x.e").alias("e"))
-    b = prefix.select(F.col("class_id").alias("id2"), F.col("size").alias("n2"), F.col("at").alias("p2"), F.col("x.e").alias("e"))
-    near = a.join(b, "e").filter((F.col("id1") < F.col("id2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(t - 1e-9)))
-    near = near.groupBy("id1", "id2", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    rare = cut(rare_elements(c, _counts(c), t))
+    # Of two sets the smaller one meets the other at its very first elements: what they share is more than the share t of its own.
+    head = f"at <= size - ceil(size * {2 * t / (1 + t)!r}D - 1e-9D)"
+    smaller = f"(size1 < size2 or (size1 = size2 and id1 < id2)) and size1 >= size2 * {t - 1e-9!r}D"
+    near = meetings(rare, "class_id", "e", ("size", "at"), head, smaller)
+    near = near.groupBy("id1", "id2", "size1", "size2").agg(F.count(F.lit(1)).alias("shared"), F.max("at1").alias("p1"), F.max("at2").alias("p2"))
     # What else two sets share lies behind their last shared rare element in both.
-    most = F.col("shared") + F.least(F.col("n1") - 1 - F.col("p1"), F.col("n2") - 1 - F.col("p2"))
-    near = near.filter(most >= (F.col("n1") + F.col("n2")) * F.lit(t / (1 + t)) - 1e-6).select("id1", "id2")
+    most = F.col("shared") + F.least(F.col("size1") - 1 - F.col("p1"), F.col("size2") - 1 - F.col("p2"))
+    near = near.filter(most >= (F.col("size1") + F.col("size2")) * F.lit(t / (1 + t)) - 1e-6).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
+    # Elements folded into some bits tell two sets apart by as many as differ, at least; whole sets are fetched for what is left.
+    folded = cut(parities(c))
+    side = lambda i: folded.select(F.col("class_id").alias(f"id{i}"), F.col("size").alias(f"n{i}"), F.col("bits").alias(f"b{i}"))
+    apart = F.aggregate(F.zip_with("b1", "b2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = near.join(side(1), "id1").join(side(2), "id2").filter(apart <= (F.col("n1") + F.col("n2")) * F.lit((1 - t) / (1 + t)) + 1e-6).select("id1", "id2")
     s1, s2 = c.select(F.col("class_id").alias("id1"), F.col("shingles").alias("a")), c.select(F.col("class_id").alias("id2"), F.col("shingles").alias("b"))
     return near.join(s1, "id1").join(s2, "id2").withColumn("similarity", jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") > t).select("id1", "id2", "similarity")
 
