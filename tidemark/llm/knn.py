@@ -30,8 +30,9 @@ class KnnParams:
     k: int = 5
     dim: int = 48
     list_size: int = 600  # vectors a list should hold
-    max_lists: int = 4096
-    sample: int = 60_000
+    many_lists: int = 4096  # number of lists from which it grows with the root of the number of vectors only
+    sample: int = 60_000  # vectors that centres are fitted on, or eight for each list, if that is more
+    most_sample: int = 500_000
     fit_rounds: int = 8
     probes: int = 24  # lists probed besides a vector's own in the first round, nearest first; the second takes all others that can hold something nearer
     block: int = 12  # rotated dimensions a step of the scan adds
@@ -53,10 +54,18 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def fit_centres(x: np.ndarray, lists: int, rounds: int, seed: int) -> np.ndarray:
-    """Lloyd's k-means on a sample; centres that lose all their members move to the sample's worst served vectors."""
+    """Lloyd's k-means on a sample; centres that lose all their members move to the sample's worst served vectors.
+
+    Many centres are fitted in two steps: some groups of vectors, and in each group its share of the centres.
+    """
     rng = np.random.default_rng(seed)
     x = np.asarray(x, np.float32)
     lists = max(1, min(lists, len(x)))
+    if lists > 4096:
+        home, _ = nearest_centre(x, fit_centres(x, int(np.sqrt(lists)), rounds, seed))
+        size = np.bincount(home)
+        share = np.maximum((size > 0).astype(int), np.floor(lists * size / len(x)).astype(int))
+        return np.concatenate([fit_centres(x[home == g], k, rounds, seed) for g, k in enumerate(share) if k])
     centre = x[rng.choice(len(x), lists, replace=False)].copy() if len(x) else np.zeros((1, x.shape[1]), np.float32)
     for _ in range(rounds if len(x) else 0):
         home, far = nearest_centre(x, centre)
@@ -169,8 +178,9 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
     different ids are neighbours of one another at distance 0; they are searched once.  Where fewer than ``k`` others
     are there, all of them come out.  Empty tables give no rows; further columns are not looked at.
 
-    Centres are fitted on at most ``sample`` vectors, taken by a hash of the id; the centres (``max_lists`` at most)
-    are all that goes to every task.  A list beyond ``part_rows`` members is searched in parts.  No list that can hold
+    Centres are fitted on at most ``most_sample`` vectors, taken by a hash of the id; the centres (one for eight of these at
+    most) are all that goes to every task.  Lists hold ``list_size`` vectors, and beyond ``many_lists`` lists both their number
+    and their size grow with the root of the number of vectors.  A list beyond ``part_rows`` members is searched in parts.  No list that can hold
     something nearer is left out: vectors with more than ``probes`` such lists go on to groups of neighbouring lists.
     """
     spark = df.sparkSession
@@ -182,24 +192,25 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
     n = distinct.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, distance double")
-    sample = _matrix(distinct.orderBy(F.xxhash64("rep"), "rep").limit(p.sample).select("v").toArrow().column("v").combine_chunks(), dim)
-    lists = int(max(1, min(p.max_lists, n // p.list_size, len(sample) // 8 or 1)))
+    root = int(np.sqrt(n))
+    rows = min(p.most_sample, max(p.sample, 8 * root))
+    sample = _matrix(distinct.orderBy(F.xxhash64("rep"), "rep").limit(rows).select("v").toArrow().column("v").combine_chunks(), dim)
+    lists = int(max(1, min(n // p.list_size, max(p.many_lists, root), len(sample) // 8 or 1)))
     centre = fit_centres(sample, lists, p.fit_rounds, p.seed)
     turn = rotation(dim, p.seed)
+    # A list is held in parts, as many as the sample says it will need.
+    share = np.bincount(nearest_centre(sample, centre)[0], minlength=len(centre)) / len(sample)
+    parts = np.maximum(1, np.ceil(1.1 * share * n / p.part_rows)).astype(np.int64)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             where, _ = nearest_centre(_matrix(b.column(1), dim), centre)
-            yield pa.RecordBatch.from_arrays([pa.array(where), b.column(0), b.column(1)], names=["list", "rep", "v"])
+            with np.errstate(over="ignore"):
+                lot = b.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            part = (lot % parts[where].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part), b.column(0), b.column(1)], names=["list", "part", "rep", "v"])
 
-    indexed = distinct.select("rep", "v").mapInArrow(home, "list int, rep bigint, v array<float>")
-    # The number of parts of each list: a table of at most max_lists rows.
-    parts = {r[0]: -(-r[1] // p.part_rows) for r in indexed.groupBy("list").count().collect()}
-    many = {i: m for i, m in parts.items() if m > 1}
-    of = F.lit(1)
-    if many:
-        of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, m in many.items() for x in (int(i), int(m))]), F.col("list")), F.lit(1))
-    members = indexed.withColumn("part", F.pmod(F.xxhash64("rep"), of).cast("int"))
+    members = distinct.select("rep", "v").mapInArrow(home, "list int, part int, rep bigint, v array<float>")
 
     def own_list(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -212,10 +223,9 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
         last = np.cumsum(count) - 1
         full = count >= k
         worst[full] = dist[last[full]]
-        own = int(t.column("list")[0].as_py())
-        probe, unfinished = _probes(x, own, int(t.column("part")[0].as_py()), worst, centre, parts, p)
+        own, part = int(t.column("list")[0].as_py()), int(t.column("part")[0].as_py())
+        ends, units, unfinished = _probes(x, own, part, worst, centre, parts, p)
         offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
-        where = [np.r_[0, np.cumsum([len(a) for a in probe])].astype(np.int32), np.concatenate(probe) if probe else np.zeros(0, np.int64)]
         return pa.table(
             {
                 "rep": pa.array(ids),
@@ -223,22 +233,24 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
                 "reach": pa.array(worst),
                 "near": pa.ListArray.from_arrays(offsets, pa.array(near, pa.int64())),
                 "dist": pa.ListArray.from_arrays(offsets, pa.array(dist, pa.float64())),
-                "probe": pa.ListArray.from_arrays(pa.array(where[0]), pa.array(where[1], pa.int64())),
+                "probe": pa.ListArray.from_arrays(pa.array(ends), pa.array(units)),
                 "list": pa.array(np.full(len(x), own, np.int32)),
+                "part": pa.array(np.full(len(x), part, np.int32)),
                 "unfinished": pa.array(unfinished),
             }
         )
 
-    first = cut(members.groupBy("list", "part").applyInArrow(own_list, "rep bigint, v array<float>, reach double, near array<bigint>, dist array<double>, probe array<bigint>, list int, unfinished boolean"))
+    first = cut(members.groupBy("list", "part").applyInArrow(own_list, "rep bigint, v array<float>, reach double, near array<bigint>, dist array<double>, probe array<bigint>, list int, part int, unfinished boolean"))
     asked = first.filter(F.size("probe") > 0).select(F.explode("probe").alias("unit"), "rep", "v", "reach")
-    held = members.withColumn("unit", F.col("list").cast("bigint") * (1 << 20) + F.col("part")).select("unit", "rep", "v")
-    # A list that is asked by many goes to several tasks, each with a share of those that ask.
-    load = {r[0]: -(-r[1] // (4 * p.part_rows)) for r in asked.groupBy("unit").count().filter(F.col("count") > 4 * p.part_rows).collect()}
-    copies = F.lit(1)
-    if load:
-        copies = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, m in load.items() for x in (int(i), int(m))]), F.col("unit")), F.lit(1))
-    asked = asked.withColumn("copy", F.pmod(F.xxhash64("rep"), copies).cast("int"))
-    held = held.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    # From here on the vectors are read with the list they were found to be in.
+    members = first.select(*[F.col(x).alias(x) for x in ("list", "part", "rep", "v")])
+    held = members.select((F.col("list").cast("bigint") * (1 << 20) + F.col("part")).alias("unit"), "rep", "v")
+    # A list that is asked by many goes to several tasks, each with a share of those that ask: a table of fewer rows than units.
+    share = 4 * p.part_rows
+    load = asked.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).select("unit", F.ceil(F.col("n") / share).cast("int").alias("copies"))
+    copies = F.coalesce("copies", F.lit(1))
+    asked = asked.join(F.broadcast(load), "unit", "left").withColumn("copy", F.pmod(F.xxhash64("rep"), copies).cast("int")).drop("copies")
+    held = held.join(F.broadcast(load), "unit", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
 
     def other_list(m: pa.Table, q: pa.Table) -> pa.Table:
         if m.num_rows and q.num_rows:
@@ -283,25 +295,30 @@ def _leads(v: np.ndarray, own: np.ndarray, centre: np.ndarray, to: np.ndarray) -
     return np.divide(lead, 2 * apart, out=np.full(lead.shape, -np.inf), where=apart > 0)
 
 
-def _probes(x: np.ndarray, own: int, part: int, worst: np.ndarray, centre: np.ndarray, parts: dict[int, int], p: KnnParams) -> tuple[list[np.ndarray], np.ndarray]:
-    """Units (list and part) of the first round for each vector of one list, and whether further lists can hold something nearer."""
-    out, unfinished = [], np.zeros(len(x), bool)
+def _probes(x: np.ndarray, own: int, part: int, worst: np.ndarray, centre: np.ndarray, parts: np.ndarray, p: KnnParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units (list and part) of the first round for each vector of one list, as ends and units one behind the other, and
+    whether further lists can hold something nearer."""
     c = centre.astype(np.float64)
-    held = np.array([j in parts for j in range(len(c))])
+    rest = own * (1 << 20) + np.array([s for s in range(parts[own]) if s != part], np.int64)
+    sizes, units, unfinished = [], [np.zeros(0, np.int64)], np.zeros(len(x), bool)
     for a in range(0, len(x), 1024):
         v = x[a : a + 1024].astype(np.float64)
         lead = _leads(v, np.full(len(v), own), c, c)
-        lead[:, own], lead[:, ~held] = np.inf, np.inf
-        reach = np.sqrt(worst[a : a + 1024]) * SLACK
-        for i in range(len(v)):
-            near = np.flatnonzero((lead[i] <= reach[i]) & (lead[i] < np.inf))
-            if len(near) > p.probes:
-                near = near[np.argsort(lead[i][near], kind="stable")[: p.probes]]
-                unfinished[a + i] = True
-            units = [int(j) * (1 << 20) + s for j in near for s in range(parts[int(j)])]
-            units += [own * (1 << 20) + s for s in range(parts.get(own, 1)) if s != part]
-            out.append(np.array(units, np.int64))
-    return out, unfinished
+        lead[:, own] = np.inf
+        near = (lead <= (np.sqrt(worst[a : a + 1024]) * SLACK)[:, None]) & (lead < np.inf)
+        many = near.sum(1) > p.probes
+        if many.any():
+            unfinished[a : a + 1024] = many
+            nearest = np.argsort(np.where(near[many], lead[many], np.inf), axis=1, kind="stable")[:, : p.probes]
+            near[many] = False
+            near[np.flatnonzero(many)[:, None], nearest] = True
+        row, at = np.nonzero(near)
+        k = parts[at]
+        first = np.repeat(at * (1 << 20), k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        row = np.r_[np.repeat(row, k), np.repeat(np.arange(len(v)), len(rest))]
+        units.append(np.r_[first, np.tile(rest, len(v))][np.argsort(row, kind="stable")])
+        sizes.append(np.bincount(row, minlength=len(v)))
+    return np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32) if sizes else np.zeros(1, np.int32), np.concatenate(units), unfinished
 
 
 def _groups(centre: np.ndarray, size: dict[int, int], p: KnnParams) -> dict[int, int]:
