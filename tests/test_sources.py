@@ -60,3 +60,23 @@ def test_generators(spark):
         assert any(abs(len(f) - len(n)) <= 1 and (sum(x != y for x, y in zip(f, n)) <= 2) for n in ("alpha", "be", "c"))
     assert G.near_misses(names.limit(0), "n", 5).count() == 0
     assert [r.zone for r in R.literals(spark, ("slow", "fast"), "zone").collect()] == ["slow", "fast"]
+
+
+def test_near_misses_go_on_until_there_are_enough(spark):
+    one = spark.createDataFrame([("ab",)], "r string")
+    # Of one name of two letters 62 replacements a place, one swap and 62 appended letters can be made.
+    assert G.near_misses(one, "r", 150).count() == 150
+    assert 180 <= G.near_misses(one, "r", 5000).count() <= 187
+    assert G.near_misses(one.limit(0), "r", 5).count() == 0
+
+
+def test_first_lines_are_those_of_the_file(spark, tmp_path):
+    (tmp_path / "t").write_text("".join(f"u\t{1000 - i}\ttext {i}\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+        assert [tuple(r) for r in R.first_lines(spark, str(tmp_path / "t"), 3).orderBy("place").collect()] == [(i + 1, f"u\t{1000 - i}\ttext {i}") for i in range(3)]
+        docs = R.read_tsv_documents(spark, str(tmp_path / "t"), first=300).collect()
+        assert sorted(r.doc_id for r in docs) == list(range(701, 1001))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import cut
-from .operators import bloom, matrix, similarity, sorting, tracking
+from .operators import bloom, similarity, timing, tracking
 from .sources import generators, readers, writers
 
 MOMENTS = ["moment_id", "player_id", "quarter", "game_id", "x_loc", "y_loc", "game_clock", "shot_clock", "event_id", "recorded_at"]
@@ -26,9 +24,7 @@ def table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def similar(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs = readers.read_tsv_documents(spark, a.input)
-    if a.documents:
-        docs = docs.orderBy("doc_id").limit(a.documents)
+    docs = readers.read_tsv_documents(spark, a.input, first=a.documents or None)
     s = similarity.ShingleParams(a.shingle_length, a.shingles, a.seed)
     if a.method == "bf":
         sets, value = cut(similarity.shingles(docs, p=s)), "shingles"
@@ -67,24 +63,10 @@ def names(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def timed(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Mean and spread of the seconds of a rotation, a sort or a search, after one run that isn't counted."""
-    cells = matrix.sequential(spark, a.size).withColumn("matrix_name", F.lit("m"))
-    high = spark.createDataFrame([("m", a.size)], "matrix_name string, height int")
-    strings = generators.random_strings(spark, a.size)
-    rows = cells.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda x: x["v"].cast("float")).alias("vec")).withColumnRenamed("i", "id")
-    work = {
-        "rotate": lambda: matrix.rotate90(cells, high),
-        "rotate-blocked": lambda: matrix.rotate90_blocked(cells, high, a.block),
-        "sort": lambda: sorting.byte_sort(strings, "s", "id"),
-        "nearest": lambda: matrix.nearest_rows(rows.filter("id = 0"), rows, "id", "vec", a.size),
-    }[a.what]
-    took = []
-    for _ in range(a.repeats + 1):
-        start = time.perf_counter()
-        work().write.format("noop").mode("overwrite").save()
-        took.append((time.perf_counter() - start,))
-    mean, std = spark.createDataFrame(took[1:], "s double").agg(F.avg("s"), F.stddev_pop("s")).first()
-    print(writers.result_line(a.what, a.size, f"{mean:.6f}", f"{std:.6f}"))
+    """Mean and spread of the seconds of a rotation, a sort or a search."""
+    work = {k: w for k, w in timing.works(spark, a.size, [a.block]).items() if k.split(" ")[0] == a.what}
+    for row in timing.time_runs(spark, work, a.repeats).collect():
+        print(writers.result_line(a.what, a.size, f"{row['mean']:.6f}", f"{row['spread']:.6f}"))
 
 
 def parser() -> argparse.ArgumentParser:

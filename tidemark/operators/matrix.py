@@ -42,6 +42,30 @@ def from_columns(c: DataFrame, name: str = "matrix_name") -> DataFrame:
     return c.select(name, F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
+def _nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``x`` the nearest of ``y`` by number (-1: none) and its squared distance.
+
+    Distances come from products of blocks; those that rounding can't tell from the least are worked out by difference.
+    """
+    best, dist = np.full(len(x), -1, np.int64), np.full(len(x), np.nan)
+    if not len(y):
+        return best, dist
+    square = (y * y).sum(1)
+    for a in range(0, len(x), rows):
+        q = x[a : a + rows]
+        d = (q * q).sum(1)[:, None] + square[None, :] - 2 * (q @ y.T)
+        d[own[a : a + rows, None] == ids[None, :]] = np.inf
+        least = d.min(axis=1)
+        room = 1e-9 * (1 + (q * q).sum(1) + square.max())
+        row, at = np.nonzero(d <= np.where(np.isfinite(least), least + room, -np.inf)[:, None])
+        exact = ((q[row] - y[at]) ** 2).sum(1)
+        order = np.lexsort((ids[at], exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        best[a + row[first]], dist[a + row[first]] = ids[at[first]], exact[first]
+    return best, dist
+
+
 def nearest_rows(queries: DataFrame, rows: DataFrame, ident: str, values: str, dim: int, block: int = 8192) -> DataFrame:
     """``ident`` and ``nearest`` of every query: the other row at the least squared distance, ties to the smaller ident.
 
@@ -62,14 +86,9 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, ident: str, values: str, d
         best, dist = np.full(a.num_rows, -1, np.int64), np.full(a.num_rows, np.nan)
         if a.num_rows and b.num_rows:
             x, y, ids, own = flat(a), flat(b), b.column("id").to_numpy(), a.column("id").to_numpy()
-            order = np.argsort(ids)
-            y, ids = y[order], ids[order]
-            for i in range(len(x)):
-                d = ((y - x[i]) ** 2).sum(1)
-                d[(ids == own[i]) | np.isnan(d)] = np.inf
-                j = int(d.argmin())
-                if np.isfinite(d[j]):
-                    best[i], dist[i] = ids[j], d[j]
+            finite = np.isfinite(y).all(axis=1)
+            y, ids = y[finite], ids[finite]
+            best, dist = _nearest(np.where(np.isfinite(x).all(axis=1)[:, None], x, np.nan), own, y, ids)
         return pa.table({"id": a.column("id"), "nearest": pa.array(best), "d": pa.array(dist, mask=best < 0)})
 
     found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(kernel, "id bigint, nearest bigint, d double")

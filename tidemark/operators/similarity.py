@@ -287,6 +287,15 @@ def band_sizes(sig: DataFrame, p: LshParams = LshParams(), ident: str = "doc_id"
     return b.groupBy("band", "slice").agg(F.count(F.lit(1)).alias("documents")).groupBy("band", "documents").agg(F.count(F.lit(1)).alias("buckets"))
 
 
+def average_bucket_size(sig: DataFrame, p: LshParams = LshParams(), buckets: int = 2000, ident: str = "doc_id") -> DataFrame:
+    """``average``: the entries of all bands by the buckets that each band has, empty ones included.
+
+    Which bucket an entry is in doesn't matter for it, so nothing is hashed or shuffled.
+    """
+    entries = bands(sig.select(F.col(ident).alias("class_id"), "signature"), p)
+    return entries.agg((F.count(F.lit(1)) / (buckets * p.used_bands)).alias("average"))
+
+
 #: Elements are ordered by how many sets have one of their hash; the table of these counts has so many entries.
 COUNTED = 1 << 20
 

@@ -92,6 +92,34 @@ def _single_csv(spark, d):
     return spark.read.option("sep", " ").schema("n_nationkey int, n_regionkey int").csv(path)
 
 
+def _pairs_in_order(spark, d):
+    """The places of the pairs in their file."""
+    path = _folder(spark)
+    pairs = supplier(spark, d).select(F.col("s_suppkey").alias("id1"), (F.col("s_suppkey") + 1).alias("id2"), F.round(F.col("s_acctbal") / 100, 1).alias("similarity"))
+    W.write_pairs(pairs, path)
+    lines = R.first_lines(spark, path, 200, "line")
+    return lines.select("place", F.split_part("line", F.lit("\t"), F.lit(1)).cast("bigint").alias("id1"))
+
+
+def _first_documents(spark, d):
+    """The first lines of a file, whatever their ids are."""
+    path = _folder(spark)
+    docs = load(spark, d, "documents").select("doc_id").orderBy(F.desc("doc_id")).coalesce(1)
+    docs.select(F.concat_ws("\t", F.lit("u"), F.col("doc_id").cast("string"), F.lit("text")).alias("value")).write.text(path)
+    return R.read_tsv_documents(spark, path, first=25)
+
+
+def _listed_matrices(spark, d):
+    """Three square matrices of a manifest, cells of rows and columns beyond their size left out."""
+    path = _folder(spark)
+    sizes = [3, 5, 8]
+    for n in sizes:
+        W.write_bytes(spark, f"{path}/m{n}.txt", "".join(" ".join(str(n * i + j) for j in range(n)) + "\n" for i in range(n)).encode())
+    W.write_bytes(spark, f"{path}/unlisted.txt", b"1 2\n3 4\n")
+    W.write_bytes(spark, f"{path}/manifest", "\n".join(f"{n} m{n}.txt" for n in sizes).encode())
+    return R.read_listed_matrices(spark, f"{path}/manifest")
+
+
 QUERIES = {
     "filter_project": lambda s, d: lineitem(s, d).filter("l_discount > 0.05 and l_quantity < 24").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net")),
     "lenient_cast": lambda s, d: orders(s, d).select("o_orderkey", F.substring("o_orderpriority", 1, 1).try_cast("int").alias("grade"), F.col("o_orderstatus").try_cast("int").alias("none")),
@@ -124,6 +152,10 @@ QUERIES = {
     "binary_matrix": _binary_matrix(False),
     "binary_matrix_by_columns": _binary_matrix(True),
     "single_csv": _single_csv,
+    "pairs_tsv_order": _pairs_in_order,
+    "first_documents": _first_documents,
+    "listed_matrices": _listed_matrices,
+    "anti_join_dear": lambda s, d: customer(s, d).join(orders(s, d).filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "pairs_tsv": _pairs_tsv,
     "literal_table": lambda s, d: R.literals(s, ("slow", "normal", "fast"), "zone"),
     "random_strings": lambda s, d: G.random_strings(s, 10000),
@@ -204,5 +236,10 @@ ORACLES = {
     SELECT name, row_no, count(*) AS n, round(1000 + sum(x), 3) AS total FROM c GROUP BY 1, 2""",
     "single_csv": "SELECT n_nationkey, n_regionkey FROM nation",
     "pairs_tsv": "SELECT s_suppkey AS id1, s_suppkey + 1 AS id2, round(s_acctbal / 100, 1) AS similarity FROM supplier",
+    "pairs_tsv_order": "SELECT row_number() OVER (ORDER BY round(s_acctbal / 100, 1) DESC, s_suppkey) AS place, s_suppkey AS id1 FROM supplier QUALIFY place <= 200",
+    "first_documents": "SELECT doc_id, 'text' AS text FROM documents ORDER BY doc_id DESC LIMIT 25",
+    "listed_matrices": """SELECT n, 'm' || n || '.txt' AS file, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(n * i + j AS DOUBLE) AS v
+    FROM (VALUES (3), (5), (8)) AS t(n), (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j) WHERE i < n AND j < n""",
+    "anti_join_dear": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
     "literal_table": "SELECT * FROM (VALUES ('slow'), ('normal'), ('fast')) AS t(zone)",
 }

@@ -11,6 +11,7 @@ from ..operators import bloom as B
 from ..operators import matrix as X
 from ..operators import similarity as S
 from ..operators import sorting as O
+from ..operators import timing
 
 SHINGLE, LSH = S.ShingleParams(), S.LshParams()
 LOG_BITS, HASHES = 14, 4
@@ -79,6 +80,12 @@ def _first_vector(spark, d):
     return rows.join(F.broadcast(one)).select("vec_id", F.round(square_distance(F.col("embedding"), F.col("q")), 4).alias("distance"))
 
 
+def _timed(spark, what):
+    """Repeats and rows of timed runs, and whether they took any time; the seconds differ from run to run."""
+    work = {k: w for k, w in timing.works(spark, 40, (4, 10)).items() if k.startswith(what)}
+    return timing.time_runs(spark, work, 2).select("work", "repeats", "rows", (F.col("mean") > 0).alias("timed"))
+
+
 QUERIES = {
     "murmur2": lambda s, d: _names(s, d).select("fake_username").distinct().select("fake_username", *[murmur2_32(F.col("fake_username"), x).alias(f"h{x}") for x in (0, 1, 4, 1234)]),
     "murmur2_64": lambda s, d: _names(s, d).select("fake_username").distinct().select("fake_username", murmur2_64(F.col("fake_username"), 7).alias("h")),
@@ -90,6 +97,7 @@ QUERIES = {
     "lsh_pairs_strict": lambda s, d: S.lsh_pairs(_sig(s, d), strict=True),
     "lsh_links": _links,
     "lsh_band_sizes": lambda s, d: S.band_sizes(_sig(s, d)),
+    "lsh_average_bucket": lambda s, d: S.average_bucket_size(_sig(s, d)).select(F.round("average", 9).alias("average")),
     "jaccard_pairs": lambda s, d: S.jaccard_pairs(cut(S.shingles(_docs(s, d)))).select("id1", "id2", F.round("similarity", 6).alias("similarity")),
     "shingle_classes": lambda s, d: S.membership(cut(S.shingles(_docs(s, d))), "shingles"),
     "bloom_bits": lambda s, d: _filter(s, d),
@@ -112,6 +120,10 @@ QUERIES = {
     "matrix_by_columns": lambda s, d: X.from_columns(X.cells(_rows(s, d))).select("matrix_name", "i", "j", F.round("v", 5).alias("v")),
     "nearest_vector": _nearest,
     "square_distances": _first_vector,
+    "rotation_benchmark": lambda s, d: _timed(s, "rotate"),
+    "sort_benchmark": lambda s, d: _timed(s, "sort"),
+    "nearest_benchmark": lambda s, d: _timed(s, "nearest"),
+    "result_lines": lambda s, d: X.heights(_rows(s, d)).select(F.concat_ws(",", F.lit("RESULT"), "matrix_name", F.col("height").cast("string")).alias("line")),
     "byte_sort": lambda s, d: O.byte_sort(load(s, d, "part"), "p_name", "p_partkey"),
     "char_histogram": lambda s, d: O.char_histogram(load(s, d, "part"), "p_name", 0),
     "count_sort_starts": lambda s, d: O.count_sort_starts(load(s, d, "part"), "p_name", 2),
@@ -244,6 +256,7 @@ ORACLES = {
     SELECT sig.doc_id, cls.class_id, CAST(cls.members - 1 + coalesce(far.n, 0) AS BIGINT) AS links FROM sig JOIN cls USING (signature) LEFT JOIN far ON far.class_id = cls.class_id""",
     "lsh_band_sizes": f"""{_signed()}, {_BANDS.format(ident='doc_id', source='sig')}, n AS (SELECT band, slice, count(*) AS documents FROM bs GROUP BY 1, 2)
     SELECT CAST(band AS INTEGER) AS band, documents, count(*) AS buckets FROM n GROUP BY 1, 2""",
+    "lsh_average_bucket": f"SELECT round(count(*) * {LSH.used_bands} / (2000 * {LSH.used_bands}), 9) AS average FROM documents",
     "jaccard_pairs": f"""{_SETS}, p AS (SELECT a.class_id AS id1, b.class_id AS id2, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS n1, len(b.s) AS n2 FROM cls a JOIN cls b ON a.class_id < b.class_id
         AND len(a.s) > 0 AND len(b.s) > 0 AND least(len(a.s), len(b.s)) >= 0.79 * greatest(len(a.s), len(b.s)))
     SELECT id1, id2, round(c / (n1 + n2 - c), 6) AS similarity FROM p WHERE c / (n1 + n2 - c) > {S.single(0.8)!r}""",
@@ -273,6 +286,10 @@ ORACLES = {
     SELECT vec_id, other AS nearest, round(d, 4) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, other) = 1""",
     "square_distances": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)
     SELECT vec_id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 4) AS distance FROM embeddings, q""",
+    "rotation_benchmark": "SELECT * FROM (VALUES ('rotate', 2::BIGINT, 1600::BIGINT, true), ('rotate-blocked 4', 2, 400, true), ('rotate-blocked 10', 2, 160, true)) AS t(work, repeats, rows, timed)",
+    "sort_benchmark": "SELECT * FROM (VALUES ('sort', 2::BIGINT, 40::BIGINT, true), ('sort-pass', 2, 40, true)) AS t(work, repeats, rows, timed)",
+    "nearest_benchmark": "SELECT 'nearest' AS work, CAST(2 AS BIGINT) AS repeats, CAST(1 AS BIGINT) AS rows, true AS timed",
+    "result_lines": "SELECT concat_ws(',', 'RESULT', matrix_name, CAST(max(row_no) + 1 AS VARCHAR)) AS line FROM matrix GROUP BY matrix_name",
     "byte_sort": "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name NULLS LAST, p_partkey) AS place FROM part",
     "char_histogram": f"SELECT {_AT0.format(v='p_name', p=0)} AS code, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1",
     "count_sort_starts": f"""WITH h AS (SELECT {_AT0.format(v='p_name', p=2)} AS code, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1)

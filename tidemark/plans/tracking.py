@@ -54,6 +54,7 @@ QUERIES = {
     "located_rebounds_wide": lambda s, d: T.located_rebounds(_m(s, d), _e(s, d), reach=WIDE).select("play_id", "moment_id", "quarter", _r("to_ball"), _r("to_hoop")),
     "located_rebounds_wide_strict": lambda s, d: T.located_rebounds(_m(s, d), _e(s, d), True, WIDE).select("play_id", "moment_id", "quarter", _r("to_ball"), _r("to_hoop")),
     "player_rebounds_wide": lambda s, d: T.player_rebounds(_m(s, d), _e(s, d), reach=WIDE).select("player_id", "off", "def", _r("farthest")),
+    "player_rebounds_wide_strict": lambda s, d: T.player_rebounds(_m(s, d), _e(s, d), True, WIDE).select("player_id", "off", "def", _r("farthest")),
     "missing_rebounds_wide": lambda s, d: T.missing_rebounds(_m(s, d), _e(s, d), reach=WIDE),
     "event_moments": lambda s, d: T.event_moments(_m(s, d), _e(s, d)),
     "event_moments_in_range": lambda s, d: T.event_moments(_m(s, d), _e(s, d), within=5.0),
@@ -186,6 +187,7 @@ ORACLES = {
     "located_rebounds_wide": _places(False),
     "located_rebounds_wide_strict": _places(True),
     "player_rebounds_wide": _players(False, WIDE),
+    "player_rebounds_wide_strict": _players(True, WIDE),
     "missing_rebounds_wide": _missing(WIDE),
     "event_moments": f"SELECT play_id, moment_id {_EM}",
     "event_moments_in_range": f"SELECT play_id, moment_id {_EM} WHERE NOT isnan(m.game_clock) AND abs(m.game_clock - e.game_clock) <= 5",

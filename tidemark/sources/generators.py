@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import cut
 from ..operators.sorting import ranked
 
 #: Fixed value: characters a near miss is made with.
@@ -26,13 +27,25 @@ def random_strings(spark: SparkSession, n: int, seed: int = 1, longest: int = 25
 def near_misses(names: DataFrame, name: str, n: int, seed: int = 1) -> DataFrame:
     """``n`` different names, each one of ``names`` with a character replaced, two neighbours swapped, or one appended.
 
-    Fewer come out where the names don't have that many.  A near miss may be a real name.
+    Tries go on, four times as many each time, until there are ``n``; fewer come out only where four times the tries gave no
+    new one.  A near miss may be a real name.
     """
     real = names.select(F.col(name).alias("r")).filter("r is not null and r != ''").distinct()
-    numbered = ranked(real, ["r"], "place")
-    count = numbered.agg(F.count(F.lit(1)).alias("count"))
-    tries = names.sparkSession.range(4 * n).join(F.broadcast(count)).filter("count > 0").withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("count")) + 1)
-    t = tries.join(numbered, "place")
+    numbered = cut(ranked(real, ["r"], "place"))
+    count = numbered.count()
+    tries, found = 4 * n, -1
+    while True:
+        made = _misses(numbered, count, tries, seed)
+        now = made.limit(n).count()
+        if now >= n or now == found:
+            return made.orderBy("id").limit(n).select("fake")
+        tries, found = 4 * tries, now
+
+
+def _misses(numbered: DataFrame, count: int, tries: int, seed: int) -> DataFrame:
+    """The different near misses of so many tries, each with the number of the first try that made it."""
+    ids = numbered.sparkSession.range(tries if count else 0)
+    t = ids.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(count, 1))) + 1).join(numbered, "place")
     size = F.length("r")
     at, letter = draw(size, seed + 2, F.col("id")) + 1, F.substr(F.lit(LETTERS), draw(len(LETTERS), seed + 3, F.col("id")) + 1, F.lit(1))
     swap = draw(F.greatest(size - 1, F.lit(1)), seed + 4, F.col("id")) + 1
@@ -41,5 +54,4 @@ def near_misses(names: DataFrame, name: str, n: int, seed: int = 1) -> DataFrame
     swapped = F.concat(part(F.lit(1), swap - 1), part(swap + 1, F.lit(1)), part(swap, F.lit(1)), part(swap + 2, size))
     kind = draw(3, seed + 1, F.col("id"))
     made = F.when(kind == 0, replaced).when((kind == 1) & (size > 1), swapped).otherwise(F.concat("r", letter))
-    made = t.select(made.alias("fake"), "id").groupBy("fake").agg(F.min("id").alias("id"))
-    return made.orderBy("id").limit(n).select("fake")
+    return t.select(made.alias("fake"), "id").groupBy("fake").agg(F.min("id").alias("id"))
