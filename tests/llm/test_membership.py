@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.membership import BloomChain, ChainParams, seen_before
+from tidemark.llm.membership import BloomChain, ChainParams, seen_before, seen_in_history
 
 
 def brute(rows):
@@ -49,3 +49,30 @@ def test_repeats_inside_one_array():
     chain = BloomChain()
     h = np.array([5, 6, 5, 5, 7], np.uint64)
     assert chain.see(h, h).tolist() == [False, False, True, True, False]
+
+
+def test_stored_chains_go_on(spark):
+    rng = random.Random(12)
+    names = [f"n{rng.randrange(900)}" if rng.random() < 0.6 else "hot" for _ in range(3000)]
+    rows = [(i, x if i % 97 else None) for i, x in enumerate(names)]
+    chains, got, known = None, {}, set()
+    for part in (rows[:1000], rows[1000:1001], [], rows[1001:]):
+        df = spark.createDataFrame(part, "gen_id bigint, fake_username string").repartition(3)
+        out, chains = seen_in_history(df, chains, params=ChainParams(first_capacity=16), shards=5)
+        got |= {r.gen_id: r.seen for r in out.collect()}
+    want = {}
+    for i, x in rows:
+        want[i] = x is not None and x in known
+        known.add(x)
+    assert got == want and chains.count() == 5
+
+
+def test_chains_survive_storage():
+    rng = np.random.default_rng(1)
+    h, g = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64)
+    p = ChainParams(first_capacity=64)
+    a = BloomChain(p)
+    a.see(h[:2000], g[:2000])
+    b = BloomChain.from_bytes(a.to_bytes(), p)
+    assert a.see(h, g).tolist() == b.see(h, g).tolist() == [True] * 2000 + [False] * 3000
+    assert a.to_bytes() == b.to_bytes() and a.bound == b.bound < 1e-6

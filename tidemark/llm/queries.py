@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..common import cut, ensure_checkpoint_dir, load
 from .knn import nearest_vectors, similar_pairs
-from .membership import seen_before
+from .membership import seen_before, seen_in_history
 from .mixing import mix_checks, mix_report, mix_sources
 from .nearest_stream import tables_as_streams
 from .nearest_time import nearest_in_time
@@ -32,6 +32,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return seen_before(load(spark, d, "fake_usernames_gen")).filter("seen").select("gen_id")
 
 
+def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by stored chains: the known names first, then, from their chains alone, the generated ones."""
+    names = load(spark, d, "fake_usernames_gen")
+    _, chains = seen_in_history(names, None, key="real_username")
+    return seen_in_history(names, chains)[0].filter("seen").select("gen_id")
+
+
 def p5_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """The chains at the end of the table: layers, fill, and the rate of wrong answers."""
     return seen_before(load(spark, d, "fake_usernames_gen"), report=True)
@@ -142,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_error_rate": p5_error_rate,
+    "p5_resumed": p5_resumed,
     "p6_found": p6_found,
     "p6_matched": p6_matched,
     "p6_stream": p6_stream,
@@ -217,3 +225,5 @@ ORACLES: dict[str, str] = {
     "p7_found": f"{_RUNS} SELECT first_moment_id, last_moment_id FROM r",
     "p7_runs": f"{_RUNS} SELECT game_id, quarter, event_id, first_moment_id, run_length, duration FROM r",
 }
+
+ORACLES["p5_resumed"] = ORACLES["p5_found"]
