@@ -217,3 +217,15 @@ def test_many_near_copies_lose_no_pair(spark):
             if i < j and a and b and (s := len({*a} & {*b}) / len({*a} | {*b})) > S.single(0.85):
                 want[i, j] = s
     assert len(want) > 1000 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("prime, domain", [(1_004_119, 1_000_000), (1_004_119, 400_000), (103, 103), (2_147_483_647, 2_000_000_000)])
+def test_least_hashes(prime, domain):
+    rng = np.random.default_rng(prime)
+    # Multiples of the prime and their neighbours too, where a rounded quotient is off.
+    ids = np.r_[rng.integers(0, 1_000_000, 3000), np.arange(50) * prime % 2_000_000, 0, 1]
+    begin = np.array([0, 1, 700, 3000])
+    family = [(int(rng.integers(1, 2**31)), int(rng.integers(0, 2**31))) for _ in range(20)] + [(1, 0), (prime, prime), (prime - 1, 1)]
+    got = S.least_hashes(ids, begin, family, prime, domain)
+    for g, part in enumerate(np.split(ids, begin[1:])):
+        assert got[g].tolist() == [min((a * int(x) + b) % prime % domain for x in part) for a, b in family]

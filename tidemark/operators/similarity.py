@@ -169,8 +169,8 @@ def shingle_ids(texts: list[str | None], p: ShingleParams) -> tuple[np.ndarray,
     return key & 0xFFFFFFFF, np.searchsorted(key, np.arange(len(raw) + 1, dtype=np.int64) << 32)
 
 
-def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have some millions of bytes together, or are one text."""
+def _pieces(texts: pa.Array, most: int = 150_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have some hundred thousand bytes together, so that a processor's cache holds them, or are one text."""
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -198,6 +198,37 @@ def shingles(df: DataFrame, ident: str = "doc_id", text: str = "text", p: Shingl
     return src.mapInArrow(kernel, f"`{ident}` {df.schema[ident].dataType.simpleString()}, shingles array<int>")
 
 
+def least_hashes(ids: np.ndarray, begin: np.ndarray, family: list[tuple[int, int]], prime: int, domain: int) -> np.ndarray:
+    """By group of numbers (they begin at ``begin``) the least value of each function ((a x + b) mod prime) mod domain.
+
+    Numbers and prime are small enough, as a rule, for products that floating point holds exactly; then the remainder is a
+    multiplication by the inverse, which is right to one prime, and a correction where it isn't.
+    """
+    out = np.zeros((len(begin), len(family)), np.int64)
+    small = len(ids) and (int(ids.max()) + 1) * prime < 1 << 53
+    x = ids.astype(np.float64 if small else np.uint64)
+    v, q = np.empty_like(x), np.empty_like(x)
+    for j, (a, b) in enumerate(family):
+        if small:
+            np.multiply(x, float(a % prime), out=v)
+            v += float(b % prime)
+            np.floor(np.multiply(v, 1.0 / prime, out=q), out=q)
+            q *= float(prime)
+            v -= q
+            if v.min() < 0 or v.max() >= prime:
+                v += prime * (v < 0.0)
+                v -= prime * (v >= prime)
+        else:
+            v = (x * np.uint64(a) + np.uint64(b)) % np.uint64(prime)
+        if prime > domain:
+            if prime > 2 * domain:
+                v %= v.dtype.type(domain)
+            else:
+                v -= (v >= domain) * v.dtype.type(domain)
+        out[:, j] = np.minimum.reduceat(v, begin)
+    return out
+
+
 def signatures(df: DataFrame, ident: str = "doc_id", text: str = "text", s: ShingleParams = ShingleParams(), p: LshParams = LshParams()) -> DataFrame:
     """``ident`` and ``signature``: the least value of each hash function over the text's shingles; 2147483647 without any."""
     family, prime, domain = hash_family(p, s.slots)
@@ -210,12 +241,7 @@ def signatures(df: DataFrame, ident: str = "doc_id", text: str = "text", s: Shin
                 out = np.full((y - x, p.hashes), NOTHING, np.int32)
                 some = np.flatnonzero(ends[1:] > ends[:-1])
                 if len(some):
-                    ids, begin = ids.astype(np.uint64), ends[some]
-                    for j, (a, c) in enumerate(family):
-                        v = (ids * np.uint64(a) + np.uint64(c)) % np.uint64(prime)
-                        if prime > domain:
-                            v %= np.uint64(domain)
-                        out[some, j] = np.minimum.reduceat(v, begin)
+                    out[some] = least_hashes(ids, ends[some], family, prime, domain)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, p.hashes, dtype=np.int32)), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), lists], names=[ident, "signature"])
 
