@@ -28,7 +28,7 @@ from .arrow import numbers
 
 @dataclass(frozen=True)
 class ProseParams:
-    """Limits of the rules; lengths are in characters.  ``max_common`` bounds the vocabulary of common words."""
+    """Limits of the rules; lengths are in characters."""
 
     case_share: float = 0.5  # of characters outside prose from which a text is a case
     symbol_share: float = 0.25  # of characters that are neither letters, digits nor marks of a sentence
@@ -50,7 +50,8 @@ class ProseParams:
     order_margin: float = 6.0  # of the logarithm of the likelihood ratio: one text in some hundreds has no order
     some_common: float = 0.1  # of common words, from which a text is in a language, however rare that is in the corpus
     order_strength: float = 20.0  # pairs' worth of the assumption that there is no order
-    max_common: int = 1000
+    max_common: int = 1000  # classes of common words whose pairs are counted
+    most_words: int = 100_000  # common words, all languages together, that go to every task
 
 
 #: What a character is.
@@ -541,8 +542,10 @@ class Judge:
 def vocabulary_of(common: DataFrame, p: ProseParams = ProseParams()) -> Vocabulary:
     """The common words of a table (``lang``, ``word``), some dozens a language."""
     words: dict[str, set[str]] = {}
-    for lang, word in common.select("lang", "word").filter("lang is not null and word is not null").distinct().toLocalIterator():
+    for lang, word in common.select("lang", "word").filter("lang is not null and word is not null").distinct().limit(p.most_words + 1).collect():
         words.setdefault(lang, set()).add(word)
+    if sum(map(len, words.values())) > p.most_words:
+        raise ValueError(f"more than {p.most_words} common words")
     return Vocabulary.of({k: frozenset(x) for k, x in words.items()}, p.max_common)
 
 
