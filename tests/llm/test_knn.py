@@ -68,6 +68,15 @@ def test_scan_abandons_and_keeps_the_nearest():
     assert want is None and hits >= 0.97 * 250 and np.all(np.diff(dist[row == 3]) >= 0)
 
 
+def test_a_vector_that_a_third_of_all_ids_have(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.tile(rng.normal(size=(1, 4)), (200, 1)), np.tile(rng.normal(size=(1, 4)), (3, 1)), rng.normal(size=(400, 4))]).astype(np.float32)
+    ids = rng.permutation(len(x)) + 1
+    got = search(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x)], KnnParams(k=3, dim=4, block=2, list_size=100, part_rows=20))
+    want = exact(x, ids, 3)
+    assert {i: [a for a, _ in v] for i, v in got.items()} == {i: [a for a, _ in v] for i, v in want.items()}
+
+
 @pytest.mark.parametrize("sizes", [dict(), dict(part_rows=30, group_rows=400)])
 def test_recall_where_far_more_lists_qualify_than_the_first_round_probes(spark, sizes):
     rng = np.random.default_rng(5)

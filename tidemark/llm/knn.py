@@ -269,18 +269,25 @@ def nearest_vectors(df: DataFrame, ident: str = "vec_id", vec: str = "vec_", p:
     found = mine.unionByName(more)
 
     # The first ids of each set of equal vectors, which other vectors may have as neighbours.
-    several = distinct.filter("copies > 1")
-    equal = vectors.join(several.select("v", "rep"), "v").select("rep", "id")
+    several = distinct.filter("copies > 1").select("v", "rep", F.ceil(F.col("copies") / p.part_rows).cast("int").alias("shares"))
+    # A vector that a large part of all ids have is met in shares, told by a table of hashes: 2**20 rows at most.
+    at = F.pmod(F.xxhash64("v"), F.lit(1 << 20)).cast("int")
+    hot = F.broadcast(several.filter("shares > 1").groupBy(at.alias("at")).agg(F.max("shares").alias("cut")))
+    cut_of, share = F.coalesce("cut", F.lit(1)), F.pmod(F.xxhash64("id"), F.coalesce("cut", F.lit(1))).cast("int")
+    several = several.select("v", "rep", at.alias("at")).join(hot, "at", "left")
+    each = several.select("v", "rep", F.explode(F.sequence(F.lit(0), cut_of - 1)).alias("share"))
+    equal = vectors.withColumn("at", at).join(hot, "at", "left").select("v", "id", share.alias("share")).join(each, ["v", "share"]).select("rep", "id", "share")
     rank = Window.partitionBy("rep").orderBy("id")
     heads = equal.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("head"))
     reach = found.join(heads.select(F.col("rep").alias("near"), "head"), "near", "left").select("rep", F.coalesce("head", "near").alias("neighbour"), "d")
     reach = reach.unionByName(heads.select("rep", F.col("head").alias("neighbour"), F.lit(0.0).alias("d")))
     # At most k * (k + 1) candidates a vector for its own list, each of the first probes and each group of lists.
     best = reach.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "neighbour"))), 1, k + 1).alias("best"))
-    alone = distinct.filter("copies = 1").select("rep", F.col("rep").alias("id"))
+    alone = distinct.filter("copies = 1").select("rep", F.col("rep").alias("id"), F.lit(0).alias("share"))
+    best = best.join(several.filter("cut > 1").select("rep", "cut"), "rep", "left").select("rep", "best", F.explode(F.sequence(F.lit(0), cut_of - 1)).alias("share"))
     return (
         alone.unionByName(equal)
-        .join(best, "rep")
+        .join(best, ["rep", "share"])
         .select("id", F.explode(F.slice(F.filter("best", lambda b: b["neighbour"] != F.col("id")), 1, k)).alias("b"))
         .select("id", F.col("b.neighbour").alias("neighbour"), F.col("b.d").alias("distance"))
     )
