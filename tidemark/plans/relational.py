@@ -159,10 +159,21 @@ QUERIES = {
     "pairs_tsv": _pairs_tsv,
     "literal_table": lambda s, d: R.literals(s, ("slow", "normal", "fast"), "zone"),
     "random_strings": lambda s, d: G.random_strings(s, 10000),
-    "near_misses": lambda s, d: G.near_misses(load(s, d, "fake_usernames_gen"), "real_username", 500),
+    "near_misses": lambda s, d: G.near_misses(load(s, d, "fake_usernames_gen"), "real_username", 500).select("fake"),
+    "random_string_checks": lambda s, d: G.random_strings(s, 10000).agg(F.count_distinct("id").alias("n"), F.min(F.length("s")).alias("shortest"), F.max(F.length("s")).alias("longest"), F.count_if(F.col("s").rlike("^[a-z]+$")).alias("lower")),
+    "near_miss_checks": lambda s, d: _miss_checks(s, d),
 }
 
 
+def _miss_checks(spark, d):
+    """What holds of all near misses: they differ, each comes from a name of the table, and is one change (a swap is two edits) away."""
+    names = load(spark, d, "fake_usernames_gen")
+    made = G.near_misses(names, "real_username", 500)
+    known = made.join(names.select(F.col("real_username").alias("real")).distinct(), "real", "left_semi")
+    near = (F.levenshtein("fake", "real") <= 2) & (F.abs(F.length("fake") - F.length("real")) <= 1)
+    return known.agg(F.count_distinct("fake").alias("n"), F.count_if(near).alias("near"))
+
+
 def _null_safe(spark, d):
     """Events and their repeats under another id: equal in everything, null players and teams included."""
     keys = ["game_id", "eventnum", "player1_id", "player1_team_id"]
@@ -241,5 +252,7 @@ ORACLES = {
     "listed_matrices": """SELECT n, 'm' || n || '.txt' AS file, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(n * i + j AS DOUBLE) AS v
     FROM (VALUES (3), (5), (8)) AS t(n), (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j) WHERE i < n AND j < n""",
     "anti_join_dear": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
+    "random_string_checks": "SELECT CAST(10000 AS BIGINT) AS n, 1 AS shortest, 25 AS longest, CAST(10000 AS BIGINT) AS lower",
+    "near_miss_checks": "SELECT CAST(500 AS BIGINT) AS n, CAST(500 AS BIGINT) AS near",
     "literal_table": "SELECT * FROM (VALUES ('slow'), ('normal'), ('fast')) AS t(zone)",
 }

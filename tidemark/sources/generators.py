@@ -25,7 +25,7 @@ def random_strings(spark: SparkSession, n: int, seed: int = 1, longest: int = 25
 
 
 def near_misses(names: DataFrame, name: str, n: int, seed: int = 1) -> DataFrame:
-    """``n`` different names, each one of ``names`` with a character replaced, two neighbours swapped, or one appended.
+    """``n`` different names (``fake``), each one of ``names`` (``real``) with a character replaced, two neighbours swapped, or one appended.
 
     Tries go on, four times as many each time, until there are ``n``; fewer come out only where four times the tries gave no
     new one.  A near miss may be a real name.
@@ -38,7 +38,7 @@ def near_misses(names: DataFrame, name: str, n: int, seed: int = 1) -> DataFrame
         made = _misses(numbered, count, tries, seed)
         now = made.limit(n).count()
         if now >= n or now == found:
-            return made.orderBy("id").limit(n).select("fake")
+            return made.orderBy("id").limit(n).select("fake", "real")
         tries, found = 4 * tries, now
 
 
@@ -54,4 +54,4 @@ def _misses(numbered: DataFrame, count: int, tries: int, seed: int) -> DataFrame
     swapped = F.concat(part(F.lit(1), swap - 1), part(swap + 1, F.lit(1)), part(swap, F.lit(1)), part(swap + 2, size))
     kind = draw(3, seed + 1, F.col("id"))
     made = F.when(kind == 0, replaced).when((kind == 1) & (size > 1), swapped).otherwise(F.concat("r", letter))
-    return t.select(made.alias("fake"), "id").groupBy("fake").agg(F.min("id").alias("id"))
+    return t.select(made.alias("fake"), "id", F.col("r").alias("real")).groupBy("fake").agg(F.min("id").alias("id"), F.min_by("real", "id").alias("real"))
