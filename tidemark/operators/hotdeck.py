@@ -70,7 +70,8 @@ def hot_deck_fill(
         *[F.col(o)[x].alias(f"_{x}{i}") for i, o in enumerate(own) for x in ("t", "v")],
     )
     ends = lean.groupBy(*keyed, "_p").agg(
-        *[agg(f"_{x}{i}", f"_o{i}").alias(f"_{end}_{x}{i}") for i in range(n) for x in ("t", "v") for end, agg in (("first", F.min_by), ("last", F.max_by))],
+        *[agg(f"_t{i}").alias(f"_{end}_t{i}") for i in range(n) for end, agg in (("first", F.min), ("last", F.max))],
+        *[agg(f"_v{i}", f"_o{i}").alias(f"_{end}_v{i}") for i in range(n) for end, agg in (("first", F.min_by), ("last", F.max_by))],
         *[F.count(f"_o{i}").alias(f"_n{i}") for i in range(n)],
     )
     over = Window.partitionBy(*keyed)
