@@ -219,6 +219,34 @@ def test_many_near_copies_lose_no_pair(spark):
     assert len(want) > 1000 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def shuffled(spark):
+    """Bytes of shuffles that all executors have written so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("spread", [1, 1_300_001])  # elements beyond the table of counts too
+def test_sets_of_common_phrases_move_little(spark, monkeypatch, spread):
+    # Each set has 30 of 150 phrases of eight elements, so every element is in hundreds of sets, and few pairs are alike.
+    rng = np.random.default_rng(5)
+    rows = [sorted({int(8 * p + i) for p in rng.choice(150, rng.integers(20, 41), replace=False) for i in range(8)}) for _ in range(1200)]
+    rows += [sorted({*rng.choice(r, len(r) - int(k)).tolist(), *r[: len(r) - int(k)], *range(1200, 1200 + int(k) // 2)}) for r in rows[:60] for k in (3, 25)] + rows[:40] + [[7], [7, 8]]
+    df = spark.createDataFrame([(i, [e * spread for e in r]) for i, r in enumerate(rows)], "doc_id bigint, shingles array<int>").repartition(3)
+    m = np.zeros((len(rows), 1300), np.float32)
+    for i, r in enumerate(rows):
+        m[i, r] = 1
+    n, both = m.sum(1), m @ m.T
+    least = {tuple(r): i for i, r in reversed(list(enumerate(rows)))}
+    want = {(i, j): both[i, j] / (n[i] + n[j] - both[i, j]) for i, j in zip(*np.nonzero(np.triu(both / (n[:, None] + n - both) > S.single(0.8), 1))) if least[tuple(rows[i])] == i and least[tuple(rows[j])] == j}
+    assert len(want) > 60
+    for block in (S.BLOCK, 20_000):  # one block of each class of sizes, and several
+        monkeypatch.setattr(S, "BLOCK", block)
+        before = shuffled(spark)
+        got = {(r.id1, r.id2): r.similarity for r in S.jaccard_pairs(df, 0.8).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        assert shuffled(spark) - before < 4 * 4 * sum(map(len, rows))
+
+
 @pytest.mark.parametrize("prime, domain", [(1_004_119, 1_000_000), (1_004_119, 400_000), (103, 103), (2_147_483_647, 2_000_000_000)])
 def test_least_hashes(prime, domain):
     rng = np.random.default_rng(prime)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -324,93 +325,285 @@ def average_bucket_size(sig: DataFrame, p: LshParams = LshParams(), buckets: int
 
 #: Elements are ordered by how many sets have one of their hash; the table of these counts has so many entries.
 COUNTED = 1 << 20
+#: Sets of a class of sizes meet in blocks of about so many elements, which a task holds in memory.
+BLOCK = 1 << 25
+#: The table of counts moves in so many pieces.
+PIECES = 64
 
 
-def _counts(sets: DataFrame) -> np.ndarray:
-    """How many sets have an element of each hash (``e`` modulo ``COUNTED``)."""
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of each set, ascending, one behind the other, and the sets' sizes."""
+    e, size = sets.flatten().to_numpy(zero_copy_only=False), np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    inner = np.ones(max(0, len(e) - 1), bool)
+    inner[(np.cumsum(size)[:-1] - 1)[: len(inner)]] = False
+    if len(e) and (e[1:] <= e[:-1])[inner].any():
+        row = np.repeat(np.arange(len(size)), size)
+        e = e[np.lexsort((e, row))]
+    return e, size
+
+
+def _keys(e: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits of hash of each set, as rows of 16 bytes."""
+    raw, ends = e.astype("<i4").view(np.uint8).data, np.cumsum(size) * 4
+    found = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+
+
+def _few(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (ident, sets) of some number of elements together, or of one set."""
+    ends, a = b.column(1).offsets.to_numpy().astype(np.int64), 0
+    while a < b.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield b.slice(a, z - a)
+        a = z
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers compressed, all first bytes before all second ones."""
+    return np.int64(values.nbytes).tobytes() + pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    n, width = int(np.frombuffer(raw, np.int64, 1)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of pieces that begin at ``start``, one behind the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+@dataclass(frozen=True)
+class _Sizes:
+    """Classes of sizes: a set above the threshold ``t`` to a larger one has the same class or the one before."""
+
+    t: float
+
+    @property
+    def bounds(self) -> np.ndarray:
+        """The least size of each class."""
+        out, ratio = [1], min(max(1 / max(self.t, 1e-9), 1.1), 1 << 31)
+        while out[-1] < 1 << 31:
+            out.append(max(out[-1] + 1, math.ceil(out[-1] * ratio)))
+        return np.array(out, np.int64)
+
+    def more(self, n: np.ndarray) -> np.ndarray:
+        """How many elements a set has besides those at which it must meet: so many more are shared, which chance meetings aren't."""
+        return np.floor(n * min(0.08, self.t / 4)).astype(np.int64)
+
+    def front(self, n: np.ndarray) -> np.ndarray:
+        """How many of its rarest elements a set of ``n`` has where it meets smaller ones."""
+        return np.minimum(n, n - np.ceil(n * self.t - 1e-9).astype(np.int64) + 1 + self.more(n))
+
+    def head(self, n: np.ndarray) -> np.ndarray:
+        """... where it meets ones as large or larger."""
+        return np.minimum(n, n - np.ceil(n * (2 * self.t / (1 + self.t)) - 1e-9).astype(np.int64) + 1 + self.more(n))
+
+    def needed(self, n1, n2):
+        """The least number of elements that two sets above the threshold share."""
+        return np.ceil((n1 + n2) * (self.t / (1 + self.t)) - 1e-6)
+
+
+def _counts(sets: DataFrame, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets have an element of each hash (``e`` modulo ``COUNTED``), and the elements of all sets of each class of sizes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTED, np.int64)
+        total, sizes = np.zeros(COUNTED, np.int64), np.zeros(len(bounds), np.int64)
         for b in batches:
             total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) % COUNTED, minlength=COUNTED)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["h", "n"])
+            n = np.diff(b.column(0).offsets.to_numpy())
+            np.add.at(sizes, np.searchsorted(bounds, n, side="right") - 1, n)
+        parts = [_pack(x) for x in (*np.split(total, PIECES), sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "n"])
 
-    got = sets.select("shingles").mapInArrow(kernel, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTED, np.int64)
-    out[got.column("h").to_numpy()] = got.column("n").to_numpy()
-    return out
+    def add(t: pa.Table) -> pa.Table:
+        n = functools.reduce(np.add, (_unpack(x, np.int64) for x in t.column("n").to_pylist()))
+        return pa.table({"part": t.column("part")[:1].cast(pa.int32()), "n": pa.array([_pack(n)], pa.binary())})
 
+    kind = "part int, n binary"
+    t = sets.select("shingles").mapInArrow(kernel, kind).groupBy("part").applyInArrow(add, kind).toArrow()
+    got = dict(zip(t.column("part").to_pylist(), t.column("n").to_pylist()))
+    if not got:
+        return np.zeros(COUNTED, np.int64), np.zeros(len(bounds), np.int64)
+    return np.concatenate([_unpack(got[i], np.int64) for i in range(PIECES)]), _unpack(got[PIECES], np.int64)
 
-def rare_elements(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """The rarest elements of each set, of which two sets above the threshold ``t`` share one: ``class_id``, ``size``, ``at``
-    (place in the set's order, from 0) and ``e``; those that no other set has are left out."""
+
+def _fronts(sets: DataFrame, sizes: _Sizes, counts: np.ndarray, blocks: np.ndarray) -> DataFrame:
+    """The rarest elements of each set for each group of sets in which it meets others, many sets packed to a row.
+
+    A group is a block of the sets of a class of sizes, which smaller ones look up: all of that class and of the one before.
+    An element's number is its hash's place by rarity, then the rest of it, so that numbers ascend as elements become common.
+    """
+    bounds, first = sizes.bounds, np.cumsum(blocks) - blocks
+    rank = np.empty(COUNTED, np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(COUNTED)
+    single_ones = int((counts <= 1).sum())  # no two sets share these
+
+    def pack(n: np.ndarray, keys: np.ndarray, begin: np.ndarray, flat: np.ndarray, below: np.ndarray, group: np.ndarray, row: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+        size = np.maximum(0, np.where(own, sizes.front(n[row]), sizes.head(n[row])) - below[row])
+        order = np.argsort(group, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            r, k = row[part], size[part]
+            v = flat[_ragged(begin[r] + below[r], k)]
+            step = np.diff(v, prepend=np.uint32(0))
+            at = (np.cumsum(k) - k)[k > 0]
+            step[at] = v[at]
+            yield int(group[part[0]]), _pack(np.stack([n[r], k, below[r], own[part]], 1).astype(np.int32).ravel()), keys[r].tobytes(), _pack(step)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            e = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            size = np.diff(b.column(1).offsets.to_numpy())
-            row = np.repeat(np.arange(len(size)), size)
-            n = counts[e % COUNTED]
-            order = np.lexsort((e, n, row))
-            e, n = e[order], n[order]
-            at = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
-            most = np.maximum(1, size - np.ceil(size * t - 1e-9).astype(np.int64) + 1)
-            keep = (at < most[row]) & (n > 1)
-            row = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(e[keep])], names=["class_id", "size", "at", "e"]
-            )
-
-    kind = sets.schema["class_id"].dataType.simpleString()
-    return sets.select("class_id", "shingles").mapInArrow(kernel, f"class_id {kind}, size int, at int, e int")
-
-
-def parities(sets: DataFrame, words: int = 16) -> DataFrame:
-    """``class_id``, ``size`` and ``bits`` of each set: elements folded into ``words`` times 64 bits, each bit the parity of its elements."""
+        for batch in batches:
+            got: list[list[np.ndarray]] = []
+            for b in _few(batch):
+                e, n = _flat(b.column(1))
+                e = e.astype(np.int64)
+                rest = (e >> 20) + 2048
+                if len(e) and (rest.min() < 0 or rest.max() > 4095):
+                    raise ValueError("elements of sets must be integers of 32 bits")
+                order = np.sort(np.repeat(np.arange(len(n)), n) << 32 | rank[e % COUNTED].astype(np.int64) << 12 | rest)
+                v, begin = (order & 0xFFFFFFFF).astype(np.uint32), np.cumsum(n) - n
+                front = sizes.front(n)
+                flat = v[_ragged(begin, front)]
+                lone = np.r_[0, np.cumsum(flat >> 12 < single_ones)]
+                ends = np.cumsum(front)
+                got.append([n, _keys(e, n), front, flat, lone[ends] - lone[ends - front]])
+            if not got:
+                continue
+            n, keys, front, flat, below = (np.concatenate(x) for x in zip(*got))
+            begin, c = np.cumsum(front) - front, np.searchsorted(bounds, n, side="right") - 1
+            mine = first[c] + keys[:, :4].copy().view("<u4").ravel() % blocks[c]
+            rows, groups = [np.arange(len(n))], [mine]
+            for up in (0, 1):  # every block of its class, and of the next one if that has any set near enough
+                meets = np.flatnonzero((n >= bounds[c + up] * (sizes.t - 1e-9)) & (blocks[c + up] > 0))
+                k = blocks[c[meets] + up]
+                r = np.repeat(meets, k)
+                g = _ragged(first[c[meets] + up], k)
+                rows.append(r[g != mine[r]])
+                groups.append(g[g != mine[r]])
+            row, group = np.concatenate(rows), np.concatenate(groups)
+            packed = list(zip(*pack(n, keys, begin, flat, below, group, row, np.arange(len(row)) < len(n))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(packed, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["group", "sets", "keys", "v"])
+
+    return sets.select("class_id", "shingles").mapInArrow(kernel, "group int, sets binary, keys binary, v binary")
+
+
+def _near(sizes: _Sizes, packed: pa.Table) -> pa.Table:
+    """Pairs of a group's sets that may be above the threshold, by their keys: those that share enough of their rarest elements.
+
+    Where the shorter list of rarest elements ends, all that two sets share up to there was counted; the rest of what they
+    share is no more than either has behind that place.
+    """
+    t = sizes.t
+    parts = [_unpack(x, np.int32).reshape(-1, 4).astype(np.int64) for x in packed.column("sets").to_pylist()]
+    raw = packed.column("keys").to_pylist()
+    coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), sum(map(len, parts)), [None, pa.py_buffer(b"".join(raw))]).dictionary_encode().indices.to_numpy()
+    once = np.zeros(len(coded), bool)
+    once[np.unique(coded, return_index=True)[1]] = True  # copies of a set have one key
+    once = np.split(once, np.cumsum([len(x) for x in parts])[:-1])
+
+    def elements(i: int) -> np.ndarray:
+        step, k = _unpack(packed.column("v")[i].as_py(), np.uint32).astype(np.int64), parts[i][:, 1]
+        total = np.cumsum(step)
+        begin = np.cumsum(k) - k
+        return (total - np.repeat(np.r_[0, total][begin], k)).astype(np.uint32)
+
+    own = [np.flatnonzero((x[:, 3] == 1) & o) for x, o in zip(parts, once)]
+    lists, about, keys = [], [], []
+    for i, r in enumerate(own):
+        k = parts[i][:, 1]
+        lists.append(elements(i)[_ragged((np.cumsum(k) - k)[r], k[r])])
+        about.append(parts[i][r])
+        keys += [raw[i][16 * x : 16 * x + 16] for x in r.tolist()]
+    n2, k2, below2 = np.concatenate(about).T[:3] if about else np.zeros((3, 0), np.int64)
+    order = np.argsort(n2, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))  # sets by size
+    flat, begin2 = np.concatenate(lists), np.cumsum(k2) - k2
+    post = flat.astype(np.uint64) << np.uint64(32) | np.repeat(place, k2).astype(np.uint64)
+    post.sort()
+    of = (post >> np.uint64(32)).astype(np.uint32)
+    begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+    values, begins = of[begins], np.r_[begins, len(of)]
+    del of
+    post = (post & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    by_size, front2 = n2[order], sizes.front(n2)
+    out1, out2 = [], []
+    for i, x in enumerate(parts):
+        v, k = elements(i), x[:, 1]
+        begin = np.cumsum(k) - k
+        at = np.searchsorted(values, v)
+        found = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == v) if len(values) else np.zeros(len(v), bool)
+        head = sizes.head(x[:, 0])
+        look = np.minimum(k, np.maximum(0, head - x[:, 2]))
+        a, z = np.searchsorted(by_size, x[:, 0]), np.searchsorted(by_size, x[:, 0] / max(t - 1e-9, 1e-12), side="right")
+        least = 1 + sizes.more(x[:, 0])
+        for r in np.flatnonzero(once[i] & (a < z) & (look > 0)).tolist():
+            s = slice(begin[r], begin[r] + look[r])
+            p = at[s][found[s]]
+            if len(p) < least[r]:
+                continue
+            shared = np.bincount(np.concatenate([post[f:g] for f, g in zip(begins[p].tolist(), begins[p + 1].tolist())]), minlength=len(order))[a[r] : z[r]]
+            hit = np.flatnonzero(shared >= least[r])
+            if not len(hit):
+                continue
+            n1, key = int(x[r, 0]), raw[i][16 * r : 16 * r + 16]
+            for y, c in zip(order[a[r] + hit].tolist(), shared[hit].tolist()):
+                if n2[y] == n1 and key >= keys[y]:
+                    continue
+                one, two = v[s], flat[begin2[y] : begin2[y] + k2[y]]
+                if one[-1] <= two[-1]:
+                    left = min(n1 - head[r], n2[y] - below2[y] - np.searchsorted(two, one[-1], side="right"))
+                else:
+                    left = min(n2[y] - front2[y], n1 - x[r, 2] - np.searchsorted(one, two[-1], side="right"))
+                if c + left >= sizes.needed(n1, n2[y]):
+                    out1.append(key)
+                    out2.append(keys[y])
+    return pa.table({"k1": pa.array(out1, pa.binary()), "k2": pa.array(out2, pa.binary())})
+
+
+def _chosen(sets: DataFrame, keys: np.ndarray) -> DataFrame:
+    """``class_id``, ``key`` and ``shingles`` of the sets whose keys may begin with one of the given 24 bits."""
+    bits = np.zeros(1 << 24, bool)
+    bits[keys] = True
+    bits = np.packbits(bits)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            e = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-            size = np.diff(b.column(1).offsets.to_numpy())
-            row = np.repeat(np.arange(len(size)), size)
-            with np.errstate(over="ignore"):
-                at = (e * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (64 * words)
-            odd = (np.bincount(row * (64 * words) + at, minlength=len(size) * 64 * words) & 1).astype(np.uint8)
-            bits = np.packbits(odd, bitorder="little").view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, words, dtype=np.int32)), pa.array(bits))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), lists], names=["class_id", "size", "bits"])
+        for batch in batches:
+            for b in _few(batch):
+                e, n = _flat(b.column(1))
+                k = _keys(e, n)
+                h = k[:, 0].astype(np.int64) << 16 | k[:, 1].astype(np.int64) << 8 | k[:, 2]
+                r = np.flatnonzero(bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[r])].astype(np.int32)), pa.array(e[_ragged((np.cumsum(n) - n)[r], n[r])].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array([x.tobytes() for x in k[r]], pa.binary()), lists], names=["class_id", "key", "shingles"])
 
-    kind = sets.schema["class_id"].dataType.simpleString()
-    return sets.select("class_id", "shingles").mapInArrow(kernel, f"class_id {kind}, size int, bits array<bigint>")
+    return sets.mapInArrow(kernel, f"class_id {sets.schema['class_id'].dataType.simpleString()}, key binary, shingles array<int>")
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, ident: str = "doc_id") -> DataFrame:
     """All pairs of classes of equal shingle sets whose Jaccard similarity is above ``threshold``: ``id1`` < ``id2``, ``similarity``.
 
-    Exact: two sets above it share an element among the rarest of each, as many as may be missing and one more; sets meet
-    at these only; pairs of too different sizes, or whose last shared one lies too far back, are left out before they are
-    compared.  Any order of the elements will do, so it is made of a table of bounded size; no element is joined to be
-    counted.  Empty sets are in no pair.
+    Exact, but for the chance that two sets share 128 bits of hash: two sets above it share elements among the rarest of each,
+    as many as may be missing and some more.  Only these move, packed, to where sets of like sizes meet; there shared ones are
+    counted, and whole sets are fetched for pairs that share enough.  Any order of the elements will do, so it is made of a
+    table of bounded size.  Empty sets are in no pair.
+
+    ``sets`` is read three times and never stored, as sets are many times larger than the texts they come from.
     """
-    t = single(threshold)
-    c = cut(classes(sets.filter(F.size("shingles") > 0), "shingles", ident))
-    rare = cut(rare_elements(c, _counts(c), t))
-    # Of two sets the smaller one meets the other at its very first elements: what they share is more than the share t of its own.
-    head = f"at <= size - ceil(size * {2 * t / (1 + t)!r}D - 1e-9D)"
-    smaller = f"(size1 < size2 or (size1 = size2 and id1 < id2)) and size1 >= size2 * {t - 1e-9!r}D"
-    near = meetings(rare, "class_id", "e", ("size", "at"), head, smaller)
-    near = near.groupBy("id1", "id2", "size1", "size2").agg(F.count(F.lit(1)).alias("shared"), F.max("at1").alias("p1"), F.max("at2").alias("p2"))
-    # What else two sets share lies behind their last shared rare element in both.
-    most = F.col("shared") + F.least(F.col("size1") - 1 - F.col("p1"), F.col("size2") - 1 - F.col("p2"))
-    near = near.filter(most >= (F.col("size1") + F.col("size2")) * F.lit(t / (1 + t)) - 1e-6).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
-    # Elements folded into some bits tell two sets apart by as many as differ, at least; whole sets are fetched for what is left.
-    folded = cut(parities(c))
-    side = lambda i: folded.select(F.col("class_id").alias(f"id{i}"), F.col("size").alias(f"n{i}"), F.col("bits").alias(f"b{i}"))
-    apart = F.aggregate(F.zip_with("b1", "b2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    near = near.join(side(1), "id1").join(side(2), "id2").filter(apart <= (F.col("n1") + F.col("n2")) * F.lit((1 - t) / (1 + t)) + 1e-6).select("id1", "id2")
-    s1, s2 = c.select(F.col("class_id").alias("id1"), F.col("shingles").alias("a")), c.select(F.col("class_id").alias("id2"), F.col("shingles").alias("b"))
-    return near.join(s1, "id1").join(s2, "id2").withColumn("similarity", jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") > t).select("id1", "id2", "similarity")
+    sizes = _Sizes(single(threshold))
+    sets = sets.filter((F.size("shingles") > 0) & col(ident).isNotNull()).select(col(ident).alias("class_id"), "shingles")
+    counts, elements = _counts(sets, sizes.bounds)
+    fronts = _fronts(sets, sizes, counts, -(-elements // BLOCK))
+
+    def meet(packed: pa.Table) -> pa.Table:
+        return _near(sizes, packed)
+
+    near = cut(fronts.groupBy("group").applyInArrow(meet, "k1 binary, k2 binary"))
+    bits = near.select(F.explode(F.array("k1", "k2")).alias("k")).select(F.conv(F.hex(F.substring("k", 1, 3)), 16, 10).cast("int").alias("k")).distinct().toArrow()
+    c = cut(_chosen(sets, bits.column("k").to_numpy()).groupBy("shingles").agg(F.min("class_id").alias("id"), F.min("key").alias("key")))
+    side = lambda i, s: c.select(F.col("id").alias(f"i{i}"), F.col("key").alias(f"k{i}"), F.col("shingles").alias(s))
+    pairs = near.join(side(1, "a"), "k1").join(side(2, "b"), "k2").withColumn("similarity", jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") > sizes.t)
+    return pairs.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")
 
 
 def link_counts(pairs: DataFrame, members: DataFrame, ident: str = "doc_id") -> DataFrame:

@@ -98,7 +98,7 @@ QUERIES = {
     "lsh_links": _links,
     "lsh_band_sizes": lambda s, d: S.band_sizes(_sig(s, d)),
     "lsh_average_bucket": lambda s, d: S.average_bucket_size(_sig(s, d)).select(F.round("average", 9).alias("average")),
-    "jaccard_pairs": lambda s, d: S.jaccard_pairs(cut(S.shingles(_docs(s, d)))).select("id1", "id2", F.round("similarity", 6).alias("similarity")),
+    "jaccard_pairs": lambda s, d: S.jaccard_pairs(S.shingles(_docs(s, d))).select("id1", "id2", F.round("similarity", 6).alias("similarity")),
     "shingle_classes": lambda s, d: S.membership(cut(S.shingles(_docs(s, d))), "shingles"),
     "bloom_bits": lambda s, d: _filter(s, d),
     "bloom_key_bits": lambda s, d: B.key_bits(_names(s, d), "real_username", LOG_BITS, HASHES),
