@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import col, cut, spread
-from ..functions.exprs import jaccard
 from ..functions.murmur import murmur2_32_spans
 
 #: Fixed value: what a signature holds for a text without shingles.
@@ -327,6 +326,8 @@ def average_bucket_size(sig: DataFrame, p: LshParams = LshParams(), buckets: int
 COUNTED = 1 << 20
 #: Sets of a class of sizes meet in blocks of about so many elements, which a task holds in memory.
 BLOCK = 1 << 25
+#: Pairs of a group are compared in shares of about so many.
+SHARE = 1 << 20
 #: The table of counts moves in so many pieces.
 PIECES = 64
 
@@ -390,7 +391,7 @@ class _Sizes:
 
     def more(self, n: np.ndarray) -> np.ndarray:
         """How many elements a set has besides those at which it must meet: so many more are shared, which chance meetings aren't."""
-        return np.floor(n * min(0.08, self.t / 4)).astype(np.int64)
+        return np.floor(n * min(0.05, self.t / 4)).astype(np.int64)
 
     def front(self, n: np.ndarray) -> np.ndarray:
         """How many of its rarest elements a set of ``n`` has where it meets smaller ones."""
@@ -429,13 +430,27 @@ def _counts(sets: DataFrame, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([_unpack(got[i], np.int64) for i in range(PIECES)]), _unpack(got[PIECES], np.int64)
 
 
+def _groups(sizes: _Sizes, blocks: np.ndarray, n: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the groups in which they meet others: first each row's own, then every other block of its class, and of the next one if that has any set near enough."""
+    bounds, first = sizes.bounds, np.cumsum(blocks) - blocks
+    c = np.searchsorted(bounds, n, side="right") - 1
+    mine = first[c] + keys[:, :4].copy().view("<u4").ravel() % blocks[c]
+    rows, groups = [np.arange(len(n))], [mine]
+    for up in (0, 1):
+        meets = np.flatnonzero((n >= bounds[c + up] * (sizes.t - 1e-9)) & (blocks[c + up] > 0))
+        k = blocks[c[meets] + up]
+        r, g = np.repeat(meets, k), _ragged(first[c[meets] + up], k)
+        rows.append(r[g != mine[r]])
+        groups.append(g[g != mine[r]])
+    return np.concatenate(rows), np.concatenate(groups)
+
+
 def _fronts(sets: DataFrame, sizes: _Sizes, counts: np.ndarray, blocks: np.ndarray) -> DataFrame:
     """The rarest elements of each set for each group of sets in which it meets others, many sets packed to a row.
 
     A group is a block of the sets of a class of sizes, which smaller ones look up: all of that class and of the one before.
     An element's number is its hash's place by rarity, then the rest of it, so that numbers ascend as elements become common.
     """
-    bounds, first = sizes.bounds, np.cumsum(blocks) - blocks
     rank = np.empty(COUNTED, np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(COUNTED)
     single_ones = int((counts <= 1).sum())  # no two sets share these
@@ -470,25 +485,15 @@ def _fronts(sets: DataFrame, sizes: _Sizes, counts: np.ndarray, blocks: np.ndarr
             if not got:
                 continue
             n, keys, front, flat, below = (np.concatenate(x) for x in zip(*got))
-            begin, c = np.cumsum(front) - front, np.searchsorted(bounds, n, side="right") - 1
-            mine = first[c] + keys[:, :4].copy().view("<u4").ravel() % blocks[c]
-            rows, groups = [np.arange(len(n))], [mine]
-            for up in (0, 1):  # every block of its class, and of the next one if that has any set near enough
-                meets = np.flatnonzero((n >= bounds[c + up] * (sizes.t - 1e-9)) & (blocks[c + up] > 0))
-                k = blocks[c[meets] + up]
-                r = np.repeat(meets, k)
-                g = _ragged(first[c[meets] + up], k)
-                rows.append(r[g != mine[r]])
-                groups.append(g[g != mine[r]])
-            row, group = np.concatenate(rows), np.concatenate(groups)
-            packed = list(zip(*pack(n, keys, begin, flat, below, group, row, np.arange(len(row)) < len(n))))
+            row, group = _groups(sizes, blocks, n, keys)
+            packed = list(zip(*pack(n, keys, np.cumsum(front) - front, flat, below, group, row, np.arange(len(row)) < len(n))))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(packed, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["group", "sets", "keys", "v"])
 
     return sets.select("class_id", "shingles").mapInArrow(kernel, "group int, sets binary, keys binary, v binary")
 
 
-def _near(sizes: _Sizes, packed: pa.Table) -> pa.Table:
-    """Pairs of a group's sets that may be above the threshold, by their keys: those that share enough of their rarest elements.
+def _near(sizes: _Sizes, packed: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group's sets that may be above the threshold, by their keys, in shares: those that share enough of their rarest elements.
 
     Where the shorter list of rarest elements ends, all that two sets share up to there was counted; the rest of what they
     share is no more than either has behind that place.
@@ -527,7 +532,13 @@ def _near(sizes: _Sizes, packed: pa.Table) -> pa.Table:
     del of
     post = (post & np.uint64(0xFFFFFFFF)).astype(np.int64)
     by_size, front2 = n2[order], sizes.front(n2)
-    out1, out2 = [], []
+    out1, out2, told = [], [], 0
+    group = packed.column("group")[0].as_py()
+
+    def pairs() -> pa.RecordBatch:
+        same = lambda x: pa.array(np.full(len(out1), x, np.int32))
+        return pa.RecordBatch.from_arrays([same(group), same(told // SHARE), pa.array(out1, pa.binary()), pa.array(out2, pa.binary())], names=["group", "share", "k1", "k2"])
+
     for i, x in enumerate(parts):
         v, k = elements(i), x[:, 1]
         begin = np.cumsum(k) - k
@@ -558,26 +569,91 @@ def _near(sizes: _Sizes, packed: pa.Table) -> pa.Table:
                 if c + left >= sizes.needed(n1, n2[y]):
                     out1.append(key)
                     out2.append(keys[y])
-    return pa.table({"k1": pa.array(out1, pa.binary()), "k2": pa.array(out2, pa.binary())})
+            if len(out1) > 50_000:
+                yield pairs()
+                told += len(out1)
+                out1, out2 = [], []
+    yield pairs()
+
 
+def _places(keys: np.ndarray, group: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """24 bits of a key (by the first eight bytes) in a share of a group."""
+    with np.errstate(over="ignore"):
+        h = keys ^ (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + share.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        return (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64)
 
-def _chosen(sets: DataFrame, keys: np.ndarray) -> DataFrame:
-    """``class_id``, ``key`` and ``shingles`` of the sets whose keys may begin with one of the given 24 bits."""
-    bits = np.zeros(1 << 24, bool)
-    bits[keys] = True
-    bits = np.packbits(bits)
+
+def _wanted(near: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of the places where a set is in a pair, and how many shares each group has."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, shares = np.zeros(1 << 24, bool), {}
+        for b in batches:
+            group, share = (b.column(i).to_numpy() for i in (0, 1))
+            for i in (2, 3):
+                found[_places(np.frombuffer(b"".join(x[:8] for x in b.column(i).to_pylist()), "<u8"), group, share)] = True
+            for g, n in zip(group.tolist(), share.tolist()):
+                shares[g] = max(shares.get(g, 0), n + 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[np.full(len(at), -1), [*shares]].astype(np.int32)), pa.array(np.r_[at, [*shares.values()]].astype(np.int32))], names=["group", "n"]
+        )
+
+    got = near.mapInArrow(kernel, "group int, n int").distinct().toArrow()
+    group, n = got.column("group").to_numpy(), got.column("n").to_numpy()
+    bits, shares = np.zeros(1 << 24, bool), np.zeros(int(group.max(initial=-1)) + 1, np.int64)
+    bits[n[group < 0]] = True
+    np.maximum.at(shares, group[group >= 0], n[group >= 0])
+    return np.packbits(bits), shares
+
+
+def _chosen(sets: DataFrame, sizes: _Sizes, blocks: np.ndarray, bits: np.ndarray, shares: np.ndarray) -> DataFrame:
+    """Whole sets, packed, for every share of a group in which they may be in a pair: ``group``, ``share``, ``class_id``, ``key``, ``v``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _few(batch):
                 e, n = _flat(b.column(1))
-                k = _keys(e, n)
-                h = k[:, 0].astype(np.int64) << 16 | k[:, 1].astype(np.int64) << 8 | k[:, 2]
-                r = np.flatnonzero(bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[r])].astype(np.int32)), pa.array(e[_ragged((np.cumsum(n) - n)[r], n[r])].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array([x.tobytes() for x in k[r]], pa.binary()), lists], names=["class_id", "key", "shingles"])
-
-    return sets.mapInArrow(kernel, f"class_id {sets.schema['class_id'].dataType.simpleString()}, key binary, shingles array<int>")
+                keys = _keys(e, n)
+                row, group = _groups(sizes, blocks, n, keys)
+                k = np.where(group < len(shares), shares[np.minimum(group, len(shares) - 1)], 0) if len(shares) else np.zeros(len(group), np.int64)
+                row, group, share = np.repeat(row, k), np.repeat(group, k), _ragged(np.zeros(len(k), np.int64), k)
+                h = _places(keys[:, :8].copy().view("<u8").ravel()[row], group, share)
+                keep = np.flatnonzero(bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1)
+                row, group, share = row[keep], group[keep], share[keep]
+                v, ends = (e.astype(np.int64) + (1 << 31)).astype(np.uint32), np.cumsum(n)
+                packed = {x: _pack(np.diff(v[ends[x] - n[x] : ends[x]], prepend=np.uint32(0))) for x in set(row.tolist())}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(group.astype(np.int32)), pa.array(share.astype(np.int32)), b.column(0).take(pa.array(row)),
+                        pa.array([keys[x].tobytes() for x in row.tolist()], pa.binary()), pa.array([packed[x] for x in row.tolist()], pa.binary()),
+                    ],
+                    names=["group", "share", "class_id", "key", "v"],
+                )
+
+    return sets.mapInArrow(kernel, f"group int, share int, class_id {sets.schema['class_id'].dataType.simpleString()}, key binary, v binary")
+
+
+def _compared(t: float, kind: pa.DataType, near: pa.Table, found: pa.Table) -> pa.Table:
+    """The pairs above the threshold, by the smallest idents of equal sets."""
+    least: dict = {}
+    whole: dict = {}
+    for key, ident, v in zip(*(found.column(x).to_pylist() for x in ("key", "class_id", "v"))):
+        if key not in least:
+            least[key], whole[key] = ident, v
+        elif ident < least[key]:
+            least[key] = ident
+    whole = {k: np.cumsum(_unpack(v, np.uint32), dtype=np.uint32) for k, v in whole.items()}
+    out = []
+    for k1, k2 in zip(near.column("k1").to_pylist(), near.column("k2").to_pylist()):
+        a, b = whole[k1], whole[k2]
+        both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+        similarity = both / (len(a) + len(b) - both)
+        if similarity > t:
+            x, y = least[k1], least[k2]
+            out.append((x, y, similarity) if x < y else (y, x, similarity))
+    one, two, similarity = zip(*out) if out else ((), (), ())
+    return pa.table({"id1": pa.array(one, kind), "id2": pa.array(two, kind), "similarity": pa.array(similarity, pa.float64())})
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, ident: str = "doc_id") -> DataFrame:
@@ -585,7 +661,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, ident: str = "doc_id"
 
     Exact, but for the chance that two sets share 128 bits of hash: two sets above it share elements among the rarest of each,
     as many as may be missing and some more.  Only these move, packed, to where sets of like sizes meet; there shared ones are
-    counted, and whole sets are fetched for pairs that share enough.  Any order of the elements will do, so it is made of a
+    counted, and whole sets follow, packed too, for pairs that share enough.  Any order of the elements will do, so it is made of a
     table of bounded size.  Empty sets are in no pair.
 
     ``sets`` is read three times and never stored, as sets are many times larger than the texts they come from.
@@ -593,17 +669,18 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.8, ident: str = "doc_id"
     sizes = _Sizes(single(threshold))
     sets = sets.filter((F.size("shingles") > 0) & col(ident).isNotNull()).select(col(ident).alias("class_id"), "shingles")
     counts, elements = _counts(sets, sizes.bounds)
-    fronts = _fronts(sets, sizes, counts, -(-elements // BLOCK))
+    blocks = -(-elements // BLOCK)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _near(sizes, pa.Table.from_batches(batches))
 
-    def meet(packed: pa.Table) -> pa.Table:
-        return _near(sizes, packed)
+    def compare(near: pa.Table, found: pa.Table) -> pa.Table:
+        return _compared(sizes.t, found.schema.field("class_id").type, near, found)
 
-    near = cut(fronts.groupBy("group").applyInArrow(meet, "k1 binary, k2 binary"))
-    bits = near.select(F.explode(F.array("k1", "k2")).alias("k")).select(F.conv(F.hex(F.substring("k", 1, 3)), 16, 10).cast("int").alias("k")).distinct().toArrow()
-    c = cut(_chosen(sets, bits.column("k").to_numpy()).groupBy("shingles").agg(F.min("class_id").alias("id"), F.min("key").alias("key")))
-    side = lambda i, s: c.select(F.col("id").alias(f"i{i}"), F.col("key").alias(f"k{i}"), F.col("shingles").alias(s))
-    pairs = near.join(side(1, "a"), "k1").join(side(2, "b"), "k2").withColumn("similarity", jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") > sizes.t)
-    return pairs.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")
+    near = cut(_fronts(sets, sizes, counts, blocks).groupBy("group").applyInArrow(meet, "group int, share int, k1 binary, k2 binary"))
+    found = _chosen(sets, sizes, blocks, *_wanted(near))
+    kind = sets.schema["class_id"].dataType.simpleString()
+    return near.groupBy("group", "share").cogroup(found.groupBy("group", "share")).applyInArrow(compare, f"id1 {kind}, id2 {kind}, similarity double")
 
 
 def link_counts(pairs: DataFrame, members: DataFrame, ident: str = "doc_id") -> DataFrame:
